@@ -12,7 +12,8 @@ from canopygrid.model import INDEX_BANDS, Sensor
 
 
 def all_of(tests: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+    tests = list(tests)
+    return reduce(lambda a, b: a & b, tests[1:], tests[0])
 
 
 def finite(value: Column) -> Column:
@@ -48,10 +49,10 @@ def reflectance(sensor: Sensor, dn: Column, offset: float | None = None) -> Colu
 
 
 def valid_band(sensor: Sensor, dn: Column) -> Column:
-    """Is one raw band value usable?"""
+    """Is one raw band value usable? Kept bare, so that as a filter it reaches the scan."""
     if sensor.dn_open is not None:
         low, high = sensor.dn_open
-        return F.coalesce((dn > low) & (dn < high), F.lit(False))
+        return (dn > low) & (dn < high)
     return finite(reflectance(sensor, dn))
 
 
