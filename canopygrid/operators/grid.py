@@ -281,11 +281,14 @@ def raster_stats(
     quartiles = grouped_percentiles(
         cells.withColumn("__value", v), keys, "__value", (25, 50, 75), value_range=value_range
     ).drop("n")
-    if keys:
-        both = basic.join(quartiles, keys, "left")
-    else:
-        # Two one-row tables.
-        both = basic.withColumn("__one", F.lit(1)).join(quartiles.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+    # Both have one row per key; stacked and folded rather than joined, so that
+    # the keyless case needs no product.
+    names = [c for c in (*basic.columns, *quartiles.columns) if c not in keys]
+    both = (
+        basic.unionByName(quartiles, allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(*[F.max(c).alias(c) for c in names])
+    )
     return both.withColumn("valid_share", F.try_divide("n_valid", "n_cells")).withColumn(
         "has_negative", F.coalesce(F.col("min") < 0, F.lit(False))
     )

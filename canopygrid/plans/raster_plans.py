@@ -227,10 +227,10 @@ def alignment_check(spark, sf):
         (F.max("row") + 1).cast("double").alias("y_max"),
     ]
     expected = t.agg(*header).select(
-        F.lit("north").alias("aoi"), F.lit(32617).alias("epsg"), F.lit(10.0).alias("res"), "width", "height", "x_min", "y_max"
+        F.explode(F.array(F.lit("north"), F.lit("south"))).alias("aoi"), F.lit(32617).alias("epsg"), F.lit(10.0).alias("res"), "width", "height", "x_min", "y_max"
     )
     layers = t.groupBy("layer").agg(*header).select(
-        F.lit("north").alias("aoi"),
+        F.when(number % 2 == 0, "north").otherwise("south").alias("aoi"),
         "layer",
         F.when(number % 7 != 0, F.when(number % 5 == 0, 4326).otherwise(32617)).alias("epsg"),
         (10.0 + (number % 3) * 0.008).alias("res"),
