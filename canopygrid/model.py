@@ -74,12 +74,15 @@ LANDSAT = Sensor(
 
 @dataclass(frozen=True)
 class Grid:
-    """Regular north-up grid; row 0 is the northern edge."""
+    """Regular north-up grid; row 0 is the northern edge.
+
+    ``height`` None leaves the number of rows open.
+    """
 
     x_min: float
     y_max: float
     width: int
-    height: int
+    height: int | None
     dx: float
     dy: float
 

@@ -38,17 +38,16 @@ def canonical_grid(vertices: DataFrame, resolution: float) -> DataFrame:
 
 
 def edges(vertices: DataFrame) -> DataFrame:
-    """Outline segments from closed rings of (aoi, ring, seq, x, y)."""
-    ring = Window.partitionBy("aoi", "ring").orderBy("seq")
-    return (
-        vertices.select(
-            "aoi",
-            "ring",
-            F.col("x").alias("x1"),
-            F.col("y").alias("y1"),
-            F.lead("x").over(ring).alias("x2"),
-            F.lead("y").over(ring).alias("y2"),
-        ).filter(F.col("x2").isNotNull())
+    """Outline segments from closed rings of (aoi, ring, seq, x, y).
+
+    ``seq`` numbers the corners of a ring without gaps, so that a corner finds
+    the next one by an equi-join and a long ring is spread over all tasks.
+    """
+    following = vertices.select(
+        "aoi", "ring", (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2")
+    )
+    return vertices.join(following, ["aoi", "ring", "seq"]).select(
+        "aoi", "ring", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2"
     )
 
 
@@ -86,7 +85,8 @@ def aoi_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
     first = F.floor((F.lit(grid.y_max) - top) / grid.dy - 0.5) + 1
     last = F.floor((F.lit(grid.y_max) - bottom) / grid.dy - 0.5)
     first = F.greatest(first, F.lit(0))
-    last = F.least(last, F.lit(grid.height - 1))
+    if grid.height is not None:
+        last = F.least(last, F.lit(grid.height - 1))
     y = F.lit(grid.y_max) - (F.col("row") + 0.5) * grid.dy
     crossings = (
         edges(vertices)

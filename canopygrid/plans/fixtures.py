@@ -65,11 +65,8 @@ def traits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf: str) -> Grid:
-    """Header of the static grid: unit cells, row 0 at the top edge."""
-    top = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0]
-    height = top // WIDTH + 1
-    return Grid(x_min=0.0, y_max=float(height), width=WIDTH, height=height, dx=1.0, dy=1.0)
+# Header of the static grid: unit cells, row 0 at the top, as many rows as there are.
+GRID = Grid(x_min=0.0, y_max=0.0, width=WIDTH, height=None, dx=1.0, dy=1.0)
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,8 +145,8 @@ def stac(spark: SparkSession, sf: str) -> DataFrame:
         (34 + cust % 2).cast("string").alias("wrs_row"),
         (cust % 97).cast("double").alias("x_min"),
         (cust % 97 + 10).cast("double").alias("x_max"),
-        (key % 89).cast("double").alias("y_min"),
-        (key % 89 + 10).cast("double").alias("y_max"),
+        (-(key % 89) - 10).cast("double").alias("y_min"),
+        (-(key % 89)).cast("double").alias("y_max"),
     )
 
 
@@ -195,43 +192,59 @@ def year_class(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# (area, ring, corner, share of the width, share of the height)
-OUTLINES = (
-    ("north", 0, 0, 0.10, 0.05),
-    ("north", 0, 1, 0.90, 0.08),
-    ("north", 0, 2, 0.80, 0.75),
-    ("north", 0, 3, 0.50, 0.55),
-    ("north", 0, 4, 0.30, 0.88),
-    ("north", 0, 5, 0.10, 0.05),
-    ("south", 0, 0, 0.20, 0.20),
-    ("south", 0, 1, 0.95, 0.30),
-    ("south", 0, 2, 0.70, 0.95),
-    ("south", 0, 3, 0.15, 0.80),
-    ("south", 0, 4, 0.20, 0.20),
-    ("south", 1, 0, 0.40, 0.40),
-    ("south", 1, 1, 0.60, 0.45),
-    ("south", 1, 2, 0.50, 0.60),
-    ("south", 1, 3, 0.40, 0.40),
-)
-
-
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
-    """Area outlines spread over the extent of the static grid."""
-    corner = lambda o: F.struct(
-        F.lit(o[0]).alias("aoi"),
-        F.lit(o[1]).alias("ring"),
-        F.lit(o[2]).alias("seq"),
-        F.lit(o[3]).alias("fx"),
-        F.lit(o[4]).alias("fy"),
+    """Area outlines with a corner in every row of the static grid.
+
+    Each area has one straight side and one whose corners follow the cells of
+    their row; the southern one has a hole. y runs from 0 at the top to minus
+    the number of rows.
+    """
+    part = table(spark, sf, "part")
+    swing = F.sum("p_size") % 20
+    row, bottom = F.col("row"), -F.col("height")
+
+    def corner(aoi, ring, seq, x, y):
+        return F.struct(
+            F.lit(aoi).alias("aoi"),
+            F.lit(ring).alias("ring"),
+            seq.cast("int").alias("seq"),
+            x.cast("double").alias("x"),
+            y.cast("double").alias("y"),
+        )
+
+    sides = part.groupBy(_row("p_partkey").alias("row")).agg(swing.alias("k"))
+    outline = sides.select(
+        F.inline(
+            F.array(
+                *[
+                    corner(aoi, 0, row + 1, F.lit(25) + sign * F.col("k"), -(row + 0.3))
+                    for aoi, sign in (("north", 1), ("south", -1))
+                ]
+            )
+        )
     )
-    extent = table(spark, sf, "part").agg((F.floor(F.max("p_partkey") / WIDTH) + 1).alias("height"))
-    return (
-        extent.select("height", F.inline(F.array(*[corner(o) for o in OUTLINES])))
-        .withColumns({"x": F.col("fx") * WIDTH, "y": F.col("fy") * F.col("height")})
-        .select(F.concat(F.lit("landscape "), "aoi").alias("landscape_id"), "aoi", "ring", "seq", "x", "y")
+    first, last = F.lit(0), F.col("height") + 1
+    rest = []
+    for aoi, x in (("north", 5), ("south", 45)):
+        top = F.lit(-0.1)
+        for seq, y in ((first, top), (last, bottom + 0.2), (last + 1, top)):
+            rest.append(corner(aoi, 0, seq, F.lit(x), y))
+    for seq, (x, share) in enumerate(HOLE):
+        rest.append(corner("south", 1, F.lit(seq), F.lit(x), bottom * share))
+    ends = part.agg((_row_of_last() + 1).alias("height")).select(F.inline(F.array(*rest)))
+    return outline.unionByName(ends).select(
+        F.concat(F.lit("landscape "), "aoi").alias("landscape_id"), "aoi", "ring", "seq", "x", "y"
     )
 
 
+# Corners of the hole: column and share of the height.
+HOLE = ((31, 0.50), (35, 0.40), (39, 0.50), (35, 0.62), (31, 0.50))
+
+
+def _row_of_last() -> Column:
+    return F.floor(F.max("p_partkey") / WIDTH)
+
+
 def area_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The static grid once per area."""
     return traits(spark, sf).select(

@@ -84,7 +84,7 @@ def index_dispatch(spark, sf):
 
 def flagged_obs(spark, sf, source=fx.obs):
     """Observations with whether their cell lies inside the area."""
-    inside = grid.aoi_cells(fx.vertices(spark, sf), fx.grid(spark, sf)).withColumn("in_aoi", F.lit(True))
+    inside = grid.aoi_cells(fx.vertices(spark, sf), fx.GRID).withColumn("in_aoi", F.lit(True))
     return (
         source(spark, sf)
         .join(inside, ["aoi", "row", "col"], "left")
@@ -98,7 +98,7 @@ def combined_mask(spark, sf):
 
 
 def aoi_mask(spark, sf):
-    return grid.with_aoi_flag(fx.area_cells(spark, sf), fx.vertices(spark, sf), fx.grid(spark, sf)).select(
+    return grid.with_aoi_flag(fx.area_cells(spark, sf), fx.vertices(spark, sf), fx.GRID).select(
         "aoi", "row", "col", "in_aoi"
     )
 
@@ -141,11 +141,11 @@ def valid_predicate(spark, sf):
 
 # -- grid and terrain ---------------------------------------------------------
 
-UTM = Grid(x_min=300000.0, y_max=4300000.0, width=fx.WIDTH, height=0, dx=10.0, dy=10.0)
+UTM = Grid(x_min=300000.0, y_max=4300000.0, width=fx.WIDTH, height=None, dx=10.0, dy=10.0)
 
 
 def _coarser(g, factor):
-    return Grid(g.x_min, g.y_max, g.width // factor, g.height // factor, g.dx * factor, g.dy * factor)
+    return Grid(g.x_min, g.y_max, g.width // factor, None, g.dx * factor, g.dy * factor)
 
 
 def canonical_grid(spark, sf):
@@ -158,7 +158,7 @@ def aoi_area(spark, sf):
 
 
 def bbox_share(spark, sf):
-    flagged = grid.with_aoi_flag(fx.area_cells(spark, sf), fx.vertices(spark, sf), fx.grid(spark, sf))
+    flagged = grid.with_aoi_flag(fx.area_cells(spark, sf), fx.vertices(spark, sf), fx.GRID)
     return grid.bbox_share(flagged).select("aoi", "n_cells", "n_inside", r6("inside_share"))
 
 
@@ -180,7 +180,7 @@ def regrid_bilinear(spark, sf):
     source = fx.traits(spark, sf)
     half = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
     target = source.select(half("row"), "col").select("row", half("col"))
-    fine = Grid(UTM.x_min, UTM.y_max, UTM.width * 2, 0, UTM.dx / 2, UTM.dy / 2)
+    fine = Grid(UTM.x_min, UTM.y_max, UTM.width * 2, None, UTM.dx / 2, UTM.dy / 2)
     return grid.regrid_bilinear(target, source, fine, UTM, "elevation").select("row", "col", r6("elevation"))
 
 

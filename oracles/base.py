@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canopygrid.functions import labels
-from canopygrid.plans.fixtures import OUTLINES
+from canopygrid.plans.fixtures import HOLE
 
 
 def _values(rows) -> str:
@@ -128,7 +128,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             CASE WHEN o_orderkey % 19 <> 0 THEN CAST(16 + o_custkey % 3 AS VARCHAR) END AS wrs_path,
             CAST(34 + o_custkey % 2 AS VARCHAR) AS wrs_row,
             CAST(o_custkey % 97 AS DOUBLE) AS x_min, CAST(o_custkey % 97 + 10 AS DOUBLE) AS x_max,
-            CAST(o_orderkey % 89 AS DOUBLE) AS y_min, CAST(o_orderkey % 89 + 10 AS DOUBLE) AS y_max
+            CAST(-(o_orderkey % 89) - 10 AS DOUBLE) AS y_min, CAST(-(o_orderkey % 89) AS DOUBLE) AS y_max
         FROM orders""",
     ),
     "stac_named": (
@@ -151,8 +151,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "extent": ((), "SELECT CAST(max(p_partkey) // 50 + 1 AS INT) AS height FROM part"),
     "vertices": (
         ("extent",),
-        f"""SELECT concat('landscape ', aoi) AS landscape_id, aoi, ring, seq, CAST(fx AS DOUBLE) * 50 AS x, CAST(fy AS DOUBLE) * height AS y
-        FROM extent CROSS JOIN (VALUES {_values(OUTLINES)}) AS v(aoi, ring, seq, fx, fy)""",
+        f"""SELECT concat('landscape ', aoi) AS landscape_id, aoi, CAST(ring AS INT) AS ring, CAST(seq AS INT) AS seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (
+        SELECT aoi, 0 AS ring, r + 1 AS seq, 25 + sign * k AS x, -(r + 0.3::DOUBLE) AS y
+            FROM (SELECT p_partkey // 50 AS r, sum(p_size) % 20 AS k FROM part GROUP BY 1) CROSS JOIN (VALUES ('north', 1), ('south', -1)) AS s(aoi, sign)
+        UNION ALL SELECT aoi, 0, CASE n WHEN 0 THEN 0 ELSE height + n END, x, CASE n WHEN 1 THEN -height + 0.2::DOUBLE ELSE -0.1::DOUBLE END
+            FROM extent CROSS JOIN (VALUES ('north', 5), ('south', 45)) AS s(aoi, x) CROSS JOIN (VALUES (0), (1), (2)) AS n(n)
+        UNION ALL SELECT 'south', 1, seq, x, -height * CAST(share AS DOUBLE) FROM extent CROSS JOIN (VALUES {_values((i, *h) for i, h in enumerate(HOLE))}) AS h(seq, x, share))""",
     ),
     "edges": (
         ("vertices",),
@@ -160,10 +164,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM vertices WINDOW w AS (PARTITION BY aoi, ring ORDER BY seq)) WHERE x2 IS NOT NULL""",
     ),
     "flagged": (
-        ("traits", "edges", "extent"),
+        ("traits", "edges"),
         """SELECT c.aoi, c."row", c."col", sum(CASE WHEN ((y1 > c.y) <> (y2 > c.y)) AND c.x < (x2 - x1) * (c.y - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1 AS in_aoi
-        FROM (SELECT a.aoi, t."row", t."col", t."col" + 0.5::DOUBLE AS x, e.height - (t."row" + 0.5::DOUBLE) AS y
-              FROM traits t CROSS JOIN (VALUES ('north'), ('south')) AS a(aoi) CROSS JOIN extent e) c
+        FROM (SELECT a.aoi, t."row", t."col", t."col" + 0.5::DOUBLE AS x, -(t."row" + 0.5::DOUBLE) AS y
+              FROM traits t CROSS JOIN (VALUES ('north'), ('south')) AS a(aoi)) c
         JOIN edges USING (aoi) GROUP BY 1, 2, 3""",
     ),
     "flagged_obs": (
