@@ -135,7 +135,7 @@ SQL = {
     "manifest_rebuild": v(
         """SELECT s.aoi, i.index_name, s.scene_id, c.valid_px, round(c.valid_px / CAST(g.n_cells AS DOUBLE), 6) AS veg_coverage, c.valid_px IS NULL AS missing
         FROM scenes s CROSS JOIN indices i JOIN grid_cells g USING (aoi)
-        LEFT JOIN (SELECT aoi, index_name, scene_id, count(*) AS valid_px FROM cells GROUP BY ALL) c ON c.aoi = s.aoi AND c.scene_id = s.scene_id AND c.index_name = i.index_name""",
+        LEFT JOIN (SELECT aoi, index_name, scene_id, count(*) AS valid_px FROM cells WHERE month <> year % 12 + 1 GROUP BY ALL) c ON c.aoi = s.aoi AND c.scene_id = s.scene_id AND c.index_name = i.index_name""",
         "scenes",
         "indices",
         "grid_cells",
