@@ -65,9 +65,14 @@ def grouped_percentiles(
     # the scan and its shuffle.
     key = F.struct(*keys) if keys else F.struct(F.lit(1))
     rows = df.select(key.alias("__key"), v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    out_keys = [F.col("__key")[k].alias(k) for k in keys]
+    # Taken from an aggregate, the keys let no later filter through to one use
+    # of the counts alone, which would split the shared scan in two. Filter cells
+    # before, not percentiles after.
+    held_key = F.first("__key").alias("__held")
+    out_keys = [F.col("__held")[k].alias(k) for k in keys]
     if method == "hash":
         out = rows.groupBy("__key").agg(
+            held_key,
             F.count("*").alias("n"),
             F.percentile("__v", [p / 100.0 for p in percentiles]).alias("__p"),
         )
@@ -121,7 +126,7 @@ def grouped_percentiles(
         for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             hit = holds(rank, F.col("__start"), F.col("__end"))
             picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{side}{i}"))
-    picked = ranked.groupBy("__key").agg(F.max("n").alias("n"), *picks)
+    picked = ranked.groupBy("__key").agg(held_key, F.max("n").alias("n"), *picks)
 
     def between(i: int, place: Column) -> Column:
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")

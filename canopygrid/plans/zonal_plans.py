@@ -19,8 +19,9 @@ def rounded(df):
 
 
 def scene_p(spark, sf, percentiles=(95, 99, 100), *, indices=INDICES, min_pixels=MIN_PIXELS, method="binned"):
-    """Percentiles per scene and ecozone."""
-    zoned = zonal.in_ecozones(fx.cells(spark, sf, indices), fx.traits(spark, sf))
+    """Percentiles per scene and ecozone; masks are those of all indices whichever are kept."""
+    cells = fx.cells(spark, sf).filter(F.col("index_name").isin(*indices))
+    zoned = zonal.in_ecozones(cells, fx.traits(spark, sf))
     return zonal.zonal_percentiles(zoned, ["ecozone"], percentiles, min_pixels=min_pixels, method=method)
 
 
@@ -42,7 +43,8 @@ def peak_summary_wide(spark, sf):
 
 
 def ecological_space(spark, sf):
-    tidy = zonal.mean_over_scenes(scene_p(spark, sf, (95,), indices=("NDVI", "NDMI", "EVI")), ["aoi", "index_name", "ecozone"], (95,))
+    scenes = scene_p(spark, sf, (95,), indices=("NDVI", "NDMI"))
+    tidy = zonal.mean_over_scenes(scenes, ["aoi", "index_name", "ecozone"], (95,))
     return rounded(zonal.index_pairs(tidy, ["aoi", "ecozone"]))
 
 
@@ -101,7 +103,7 @@ def season_partition(spark, sf):
 
 
 def moisture_amplitude(spark, sf):
-    per_scene = scene_p(spark, sf, (95,)).filter(F.col("index_name") == "NDMI")
+    per_scene = scene_p(spark, sf, (95,), indices=("NDMI",))
     return rounded(zonal.moisture_amplitude(per_scene, fx.scenes(spark, sf)))
 
 

@@ -64,6 +64,20 @@ def test_percentiles_scan_the_facts_once(spark, sf):
     assert "ShuffledHashJoin" in text
 
 
+@pytest.mark.parametrize(
+    "name, scans",
+    [
+        ("seasonal_curves", 1), ("peak_productivity", 1), ("seasonal_sync", 1), ("elevation_gradient", 1), ("aspect_series", 1),
+        ("season_mean", 1), ("elevation_diff", 1),
+        # and once more, two columns, for the list of scenes
+        ("drought_response", 2), ("longterm_trend", 2), ("moisture_amplitude", 2), ("seasonal_amplitude", 2),
+    ],
+)
+def test_later_steps_keep_the_shared_scan(spark, sf, name, scans):
+    text = executed(entry.queries()[name](spark, "/root/testdata/sf0.01"))
+    assert text.count("FileScan parquet [l_") == scans
+
+
 def test_dedup_limits_groups_before_the_shuffle(spark, sf):
     text = plan(fx.scenes_s2(spark, sf))
     assert re.search(r"WindowGroupLimit[^\n]*Partial", text)
