@@ -37,6 +37,13 @@ def peak_productivity(spark, sf):
     return rounded(zonal.peak_productivity(scene_p(spark, sf), fx.traits(spark, sf)))
 
 
+def peak_productivity_landsat(spark, sf):
+    """The same of the other sensor, whose scenes keep fewer cells."""
+    zoned = zonal.in_ecozones(fx.cells_landsat(spark, sf), fx.traits(spark, sf))
+    scenes = zonal.zonal_percentiles(zoned, ["ecozone"], min_pixels=5)
+    return rounded(zonal.peak_productivity(scenes, fx.traits(spark, sf)))
+
+
 def peak_summary_wide(spark, sf):
     tidy = zonal.peak_productivity(scene_p(spark, sf), fx.traits(spark, sf))
     return zonal.summary_wide(tidy, ["aoi", "ecozone", "pixel_count"], ["p95", "p99", "p100"])
@@ -293,7 +300,7 @@ def class_contrast(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        zonal_percentiles, zonal_whole_aoi, peak_productivity, peak_summary_wide, ecological_space,
+        zonal_percentiles, zonal_whole_aoi, peak_productivity, peak_productivity_landsat, peak_summary_wide, ecological_space,
         seasonal_curves, seasonal_scene_count, seasonal_band, seasonal_sync, drought_response,
         drought_scene_counts, unclassified_scenes, drought_space, drought_table_wide, year_class_summary,
         season_partition, moisture_amplitude, zonal_median_monthly, season_mean, seasonal_amplitude,

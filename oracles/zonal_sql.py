@@ -71,6 +71,14 @@ SQL = {
     "peak_productivity": v(
         f"SELECT aoi, index_name, ecozone, n_scenes, pixel_count, {_r('p95', 'p99', 'p100')} FROM ({_PEAK})", "scene_p", "traits"
     ),
+    "peak_productivity_landsat": v(
+        f"""SELECT aoi, index_name, ecozone, count(*) AS n_scenes, pixel_count, round(avg(a), 6) AS p95, round(avg(b), 6) AS p99, round(avg(c), 6) AS p100
+        FROM (SELECT {_SCENE}, ecozone, quantile_cont(value, 0.95) AS a, quantile_cont(value, 0.99) AS b, max(value) AS c
+              FROM cells_landsat JOIN traits USING ("row", "col") GROUP BY {_SCENE}, ecozone HAVING count(*) >= 5)
+        JOIN (SELECT ecozone, count(*) AS pixel_count FROM traits WHERE ecozone IN (1, 2, 3) GROUP BY 1) USING (ecozone) GROUP BY ALL""",
+        "cells_landsat",
+        "traits",
+    ),
     "peak_summary_wide": v(_wide(_PEAK, "aoi, ecozone, pixel_count", ("p95", "p99", "p100")), "scene_p", "traits"),
     "ecological_space": v(
         _pairs("SELECT aoi, index_name, ecozone, avg(p95) AS p95 FROM scene_p GROUP BY ALL", "aoi, ecozone"), "scene_p"
