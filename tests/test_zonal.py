@@ -176,3 +176,12 @@ def test_crosstab_edges(spark):
     flat = t.filter("aspect = 90")
     assert [r.south_pct for r in crosstab.side_shares(flat, "forest_type").collect()] == [0.0]
     assert crosstab.species_delta(t, min_px=0).filter("code = 7").first().label == "Code 7"
+
+
+def test_cells_of_kept_groups(spark):
+    rows = [(0,)] * 9 + [(500,)] * 5 + [(400,)] * 2
+    t = spark.createDataFrame(rows, "forest_group int")
+    kept = strata.forest_group_strata(t, 3)
+    assert [(r.forest_group, r.px, r.label) for r in kept.collect()] == [(500, 5, "Oak/Hickory Group")]
+    assert [r.forest_group for r in strata.skipped_groups(t, 3).collect()] == [400]
+    assert strata.in_strata(t, kept, "forest_group").count() == 5
