@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopygrid.llm import packing, tokenfiles
+from canopygrid.llm import media, packing, tokenfiles
 from canopygrid.llm.tables import table
 
 
+def op1_media_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return media.digests(table(spark, sf, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
@@ -17,6 +21,7 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
     "op4_packing": op4_packing,
     "op9_token_files": op9_token_files,
 }
