@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopygrid.llm import media, packing, tokenfiles
+from canopygrid.llm import langid, media, packing, quality, tokenfiles
 from canopygrid.llm.tables import table
 
 
@@ -16,14 +16,24 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, tokenfiles.write_tokens(table(spark, sf, "documents")))
 
 
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op4_packing": op4_packing,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
