@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopygrid.llm import langid, media, packing, quality, tokenfiles
+from canopygrid.llm import langid, media, packing, quality, simhash, tokenfiles
 from canopygrid.llm.tables import table
 
 
@@ -16,6 +16,11 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -31,6 +36,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op4_packing": op4_packing,
+    "op5_simhash": op5_simhash,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
