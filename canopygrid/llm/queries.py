@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopygrid.llm import langid, media, packing, quality, simhash, tokenfiles
+from canopygrid.llm import langid, media, packing, quality, simhash, tokenfiles, topk
 from canopygrid.llm.tables import table
 
 
@@ -21,6 +21,10 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.every_fiftieth(table(spark, sf, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -37,9 +41,29 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op7_top_k": op7_top_k,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+    SELECT
+        q.vec_id AS query_id,
+        c.vec_id AS vec_id,
+        CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+    WHERE q.vec_id % 50 = 0
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+""",
+}
