@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopygrid.llm import langid, media, packing, quality, simhash, tokenfiles, topk
+from canopygrid.llm import langid, media, packing, quality, secrets, simhash, tokenfiles, topk
 from canopygrid.llm.tables import table
 
 
@@ -21,6 +21,10 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(table(spark, sf, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.every_fiftieth(table(spark, sf, "embeddings"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
     "op7_top_k": op7_top_k,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
