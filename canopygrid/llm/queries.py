@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopygrid.llm import langid, media, packing, pii, quality, secrets, simhash, tokenfiles, topk
+from canopygrid.llm import langid, media, mixing, packing, pii, quality, secrets, simhash, tokenfiles, topk
 from canopygrid.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(table(spark, sf, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.rates(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
@@ -48,6 +52,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_pii": op2_pii,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
