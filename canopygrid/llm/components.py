@@ -10,8 +10,7 @@ from canopygrid.llm.tables import stored
 
 def _state(edges: DataFrame) -> tuple:
     """Tells two sets of edges apart."""
-    mixed = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(mixed), F.sum("b")).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor("b")).first())
 
 
 def _star(pairs: DataFrame, spread: DataFrame) -> DataFrame:
