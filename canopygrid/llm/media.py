@@ -24,11 +24,6 @@ def payload_of(column: str = "text") -> Column:
     return F.concat(data, F.unhex(F.repeat(F.lit("00"), (whole - size).cast("int"))))
 
 
-def _free(df: DataFrame, *names: str) -> None:
-    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
-
-
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -36,11 +31,12 @@ def _fields(df: DataFrame) -> str:
 def encode_media(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
     """Replace a binary payload column by a column of progressive JPEGs that hold it losslessly.
 
-    Other columns pass through. A null payload gives null media; a payload
-    that is empty or no multiple of 64 bytes is an error.
+    Other columns pass through; a column ``media`` they had is replaced. A null
+    payload gives null media; one that is empty or no multiple of 64 bytes is an
+    error.
     """
-    _free(df, media)
-    kept = [c for c in df.columns if c != payload]
+    kept = [c for c in df.columns if c not in (payload, media)]
+    df = df.select(*kept, payload)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +51,11 @@ def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
     """Add payload (the bytes stored by ``encode_media``; null for other pictures), width, height and tensor.
 
     A tensor is height x width x 3 bytes, RGB, row by row. Media that is null
-    or no progressive JPEG gives nulls. Other columns pass through.
+    or no progressive JPEG gives nulls. Other columns pass through; columns of
+    these four names are replaced.
     """
     added = ("payload", "width", "height", "tensor")
-    _free(df, *added)
+    df = df.drop(*added)
     names = df.columns
 
     def one(data: bytes | None) -> tuple:

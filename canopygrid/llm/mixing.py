@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopygrid.llm.tables import stored, utf8
+from canopygrid.llm.tables import carried, stored, utf8
 
 BUCKETS = 2048
 # Labelled documents the classifier is fitted on, at most: those with the smallest hashed ids.
@@ -238,6 +238,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     targets = targets or TARGETS
     model = fit_domains(labelled(docs, labels), list(targets))
     mix = solve(stored(memberships(docs, model), "mixing"), targets)
-    names = tuple(docs.columns)
-    rows = memberships(docs, model, names)
-    return rows.filter(copies(mix.rate(F.col("p")), F.col("doc_id")) > 0).select(*names)
+    rows = memberships(carried(docs, "doc_id", "text"), model, ("kept", "doc_id"))
+    return rows.filter(copies(mix.rate(F.col("p")), F.col("doc_id")) > 0).select("kept.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopygrid.llm.tables import stored, utf8
+from canopygrid.llm.tables import carried, stored, utf8
 from canopygrid.llm.tokens import encode_all, vocabulary_path
 
 CAPACITY = 2048
@@ -88,25 +88,26 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...]
 
     ``order`` names columns that tell pieces of equal length apart; rows equal
     in these too are placed in any order, each once. Other columns pass
-    through. A length of 0 or null takes no place: sequence and offset are
+    through; a sequence_id or offset they had is replaced. A length of 0 or null takes no place: sequence and offset are
     null. A length above the capacity is an error. No row gives no row.
     """
-    spark = pieces.sparkSession
-    placed = ("sequence_id", "offset")
-    if clash := {*placed, "_at"} & set(pieces.columns):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
-    at = F.col("_at")
+    rows = carried(
+        pieces.drop("sequence_id", "offset"),
+        F.col("length").cast("long").alias("length"),
+        F.struct(*order).alias("order"),
+    )
+    in_order = (F.desc("length"), "order")
     ranked = stored(
-        pieces.repartitionByRange(F.desc("length"), *order)
-        .sortWithinPartitions(F.desc("length"), *order)
-        .withColumn("_at", F.monotonically_increasing_id()),
+        rows.repartitionByRange(*in_order)
+        .sortWithinPartitions(*in_order)
+        .select("kept", "length", F.monotonically_increasing_id().alias("at")),
         "packing-ranked",
     )
     # Sorted, so a part meets few lengths: rows here are at most lengths plus parts.
     parts = (
         ranked.filter("length > 0")
-        .groupBy(F.shiftright(at, 33).alias("part"), "length")
-        .agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+        .groupBy(F.shiftright("at", 33).alias("part"), "length")
+        .agg(F.count("*").alias("n"), F.min("at").alias("first"))
         .collect()
     )
     parts.sort(key=lambda r: (r.length, r.part))
@@ -125,12 +126,11 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...]
     by_part = np.argsort(part_keys)
     part_keys = part_keys[by_part]
     shift = np.array([b - r.first for b, r in zip(before, parts)], np.int64)[by_part]
-    names = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch["length"].cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            where = batch["_at"].to_numpy(zero_copy_only=False)
+            length = batch["length"].fill_null(0).to_numpy(zero_copy_only=False)
+            where = batch["at"].to_numpy(zero_copy_only=False)
             empty = length <= 0
             sequence = np.zeros(len(length), np.int64)
             offset = np.zeros(len(length), np.int64)
@@ -142,13 +142,17 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...]
                 nth = rank - own[:, 1]
                 sequence[some] = own[:, 3] + nth // own[:, 4]
                 offset[some] = own[:, 5] + nth % own[:, 4] * size
-            columns = {n: batch[n] for n in names}
-            columns["sequence_id"] = pa.array(sequence, mask=empty)
-            columns["offset"] = pa.array(offset, mask=empty)
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "kept": batch["kept"],
+                    "sequence_id": pa.array(sequence, mask=empty),
+                    "offset": pa.array(offset, mask=empty),
+                }
+            )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    kept = ranked.schema["kept"].dataType.simpleString()
+    placed = ranked.mapInArrow(place, f"kept {kept}, sequence_id long, offset long")
+    return placed.select("kept.*", "sequence_id", "offset")
 
 
 def token_pieces(

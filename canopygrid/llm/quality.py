@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopygrid.llm.tables import id_remainder, utf8
+from canopygrid.llm.tables import carried, id_remainder, utf8
 
 BUCKETS = 1 << 13
 DIMENSIONS = 64
@@ -260,10 +260,10 @@ def score(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFr
     """Add the probability of good quality, from the text alone, to every row.
 
     Null and empty texts get what the network gives a text without words.
-    Other columns pass through and repeated rows are kept.
+    Other columns pass through, a column of this name is replaced, and
+    repeated rows are kept.
     """
-    if column in docs.columns:
-        raise ValueError(f"column in the way: {column}")
+    docs = docs.drop(column)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -277,6 +277,12 @@ def score(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFr
     return docs.mapInArrow(scores, f"{fields}, {column} double")
 
 
+def accepted(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+    scored = score(carried(docs, "text"), model)
+    return scored.filter(F.col("score") >= least).select("kept.*")
+
+
 def held_out() -> Column:
     """Documents whose labels nothing is learned from: a third, by their id."""
     return id_remainder("doc_id", 3) == 1

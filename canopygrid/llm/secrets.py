@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.llm.spans import located, written
-from canopygrid.llm.tables import stored
+from canopygrid.llm.tables import carried, stored
 
 KINDS = {0: "assign", 1: "access", 2: "hex", 3: "random"}
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -173,6 +173,6 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     found = stored(scanned(docs), "secrets")
     ratios = train(docs, found)
-    names = tuple(docs.columns)
-    spans = with_spans(scanned(docs, names), ratios)
-    return spans.withColumn("text", covered(F.col("text"), F.col("spans"))).select(*names)
+    rows = with_spans(scanned(carried(docs, "text"), ("kept", "text")), ratios)
+    rows = rows.select("kept", covered(F.col("text"), F.col("spans")).alias("covered"))
+    return rows.select(F.col("kept").withField("text", F.col("covered")).alias("kept")).select("kept.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.llm.components import components
-from canopygrid.llm.tables import stored, utf8
+from canopygrid.llm.tables import carried, stored, utf8
 
 BITS = 64
 SEED = 42
@@ -65,8 +65,6 @@ def _signed(value: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int = WORDS, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``kept`` and fp (the fingerprint as a signed long) of every row."""
-    if "fp" in kept:
-        raise ValueError("column in the way: fp")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,6 +247,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, **options) -> DataFrame:
     firsts = firsts.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
     if not grouped.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_id"]), "left_semi")
-    rows = fingerprints(docs, words, tuple(docs.columns)).dropDuplicates(["doc_id", "fp"])
+    rows = fingerprints(carried(docs, "doc_id", "text"), words, ("kept", "doc_id"))
+    rows = rows.dropDuplicates(["doc_id", "fp"])
     same = rows["doc_id"].eqNullSafe(firsts["_id"]) & (rows["fp"] == firsts["_fp"])
-    return rows.join(firsts, same, "left_semi").select(*docs.columns)
+    return rows.join(firsts, same, "left_semi").select("kept.*")

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopygrid.session import shared_folder
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table; Python workers on this machine can import the library wherever the session was started."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -30,3 +40,11 @@ def utf8(column: str = "text") -> Column:
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def carried(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """Whole rows as one column ``kept``, and only the named columns beside it: no name of theirs is in the way.
+
+    ``select("kept.*")`` brings the rows back.
+    """
+    return docs.select(F.struct("*").alias("kept"), *columns)
