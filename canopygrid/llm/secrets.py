@@ -25,12 +25,15 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 # Strings the models look at: whole runs of 16 characters and more with a letter among them.
 STRING = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
-WORD = r"[A-Za-z0-9+/_=-]{4,}"
+# Ordinary words: runs too short to be looked at themselves, so that no unknown secret teaches.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,15}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 # Documents without a rule's match whose words teach what is ordinary: at most those with the smallest hashed ids.
 ORDINARY = 3000
 # A string is reported when random is so many times likelier, in logarithms: one in ten thousand strings is.
 THRESHOLD = math.log(10_000)
+# Identifiers are joined by these; steps to and from them tell nothing.
+JOINTS = "_-"
 SMOOTHING = 2.0
 COVER = "[SECRET]"
 
@@ -42,11 +45,10 @@ def scanned(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         located(text, ASSIGN, text.rlike("(?i:password|passwd|secret|token|api_?key)")),
         lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 8,
     )
-    digits = text.rlike("[0-9]")
     parts = {
         0: (assign, lambda m: F.regexp_extract(m, ASSIGN, 2)),
         1: (located(text, ACCESS, text.contains("AKIA")), lambda m: m),
-        2: (located(text, HEX, digits), lambda m: m),
+        2: (located(text, HEX), lambda m: m),
         3: (located(text, STRING), lambda m: m),
     }
 
@@ -103,7 +105,11 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
 
     if not ordinary:
         return [0.0] * width**2
-    return [math.log(p / q) for p, q in zip(model(random, 0.5), model(ordinary, 0.0))]
+    joints = {ALPHABET.index(c) + 1 for c in JOINTS}
+    return [
+        0.0 if joints & {*divmod(step, width)} else math.log(p / q)
+        for step, (p, q) in enumerate(zip(model(random, 0.5), model(ordinary, 0.0)))
+    ]
 
 
 def train(docs: DataFrame, found: DataFrame, sample: int = ORDINARY) -> list[float]:
