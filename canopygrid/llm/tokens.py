@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 VOCABULARY = "word_bpe_49k.json"
 # Words a worker process remembers before it starts afresh.
-REMEMBERED = 400_000
-# Bytes of text encoded at a time.
-CHUNK = 2 << 20
+REMEMBERED = 700_000
+# ASCII marks that the tokenizer keeps together and apart from letters before them.
+MARKS = b".,;:!?"
+# Byte-level vocabularies write bytes that are no printed Latin-1 character as those from 256 on.
+_HIDDEN = [b for b in range(256) if b <= 32 or 127 <= b <= 160 or b == 173]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -21,6 +23,54 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordIds(dict):
+    """Packed ids of words, found when first asked for.
+
+    Words of Latin letters are one piece to the tokenizer and unchanged by its
+    normaliser once lower-cased, so its model takes them directly; marks behind
+    them are another piece. All else goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(MARKS)
+        letters = _letters(stem)
+        if letters and len(stem) < len(word):
+            ids = self[stem] + self[word[len(stem) :]]
+        elif letters:
+            ids = _packed([t.id for t in self.model.tokenize(letters)])
+        else:
+            whole = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
+            ids = _packed(whole.ids)
+        self[word] = ids
+        return ids
+
+
+def _letters(word: bytes) -> str | None:
+    """A word of Latin letters alone as the model takes it."""
+    if word.isalpha():
+        return word.decode()
+    try:
+        text = word.decode().lower()
+    except UnicodeDecodeError:
+        return None
+    if text.isalpha() and max(text) < "\u0250":
+        return text.encode().decode("latin-1").translate(_BYTE_LEVEL)
+    return None
+
+
 class WordEncoder:
     """Packed little-endian unsigned 32-bit ids of texts.
 
@@ -31,27 +81,16 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.known = WordIds(path)
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
 
     def __call__(self, texts: Iterable[bytes]) -> list[bytes]:
-        split = [text.lower().split() for text in texts]
-        words = set().union(*split)
-        missing = list(words.difference(self.known))
-        if missing and len(self.known) + len(missing) > self.remembered:
-            self.known = {}
-            missing = list(words)
-        batch = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in missing], add_special_tokens=False
-        )
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, batch))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = []
+        for text in texts:
+            if len(self.known) > self.remembered:
+                self.known.clear()
+            out.append(b"".join(map(self.known.__getitem__, text.lower().split())))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -60,20 +99,8 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def in_chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``limit`` bytes together."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def encode_all(texts: list[bytes], path: str) -> Iterator[bytes]:
+def encode_all(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """Packed ids of each text in turn."""
     encode = encoder(path)
-    for a, b in in_chunks(texts):
-        yield from encode(texts[a:b])
+    for text in texts:
+        yield from encode((text,))
