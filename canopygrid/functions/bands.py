@@ -79,11 +79,11 @@ def ndmi(nir: Column, swir: Column) -> Column:
 
 
 def evi(nir: Column, red: Column, blue: Column) -> Column:
-    """Clipped to [-1, 1]; a zero denominator clips by the sign, 0/0 is null."""
+    """Clipped to [-1, 1]; a zero denominator clips by the sign, 0/0 and any missing band are null."""
     top = F.lit(2.5) * (nir - red)
     below = nir + F.lit(6.0) * red - F.lit(7.5) * blue + F.lit(1.0)
     clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(top, below)))
-    return F.when(below != 0, clipped).when(top != 0, F.signum(top))
+    return F.when(below != 0, clipped).when((below == 0) & (top != 0), F.signum(top))
 
 
 def bands_for(indices: Iterable[str]) -> list[str]:

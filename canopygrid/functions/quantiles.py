@@ -1,10 +1,14 @@
 """Exact grouped percentiles that survive hot groups.
 
-``binned`` finds the ranks through a histogram. Equal values are counted
-before the first shuffle, so rows spread over (group, bin, value) and a group
-holding a large share of all rows is worked on by every executor. Only the
-counts per bin (at most ``bins`` rows a group) are ordered by group, and only
-values in the bins that hold a wanted rank are sorted. A bin holds few distinct
+``binned`` finds the ranks through a histogram: counts per bin, combined before
+the shuffle to at most ``bins`` rows a group and task, name the bins that hold a
+wanted rank, two per percentile and group at most. The rows are then read once
+more, and only those of these bins are shuffled: the list of bins is looked at
+first, and broadcast if it has ``most_targets`` rows or fewer. With more groups
+than that the values are counted once by (group, bin, value), and both steps
+share that. Either way equal values are counted before they move and rows spread
+over (group, bin, value), so a group holding a large share of all rows is worked
+on by every executor. A bin holds few distinct
 values: ratios of whole raw numbers below 10,000 take at most some 100,000
 different values in 1/4096 of [-1, 1]. For other data choose ``value_range`` and
 ``bins`` so that a bin stays a small part of a group.
@@ -25,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 4096
+# Bins of interest that are broadcast, at most; a row takes some 200 bytes.
+MOST_TARGETS = 100_000
 
 
 def percentile_name(p: float) -> str:
@@ -52,12 +58,14 @@ def grouped_percentiles(
     method: str = "binned",
     value_range: tuple[float, float] = (-1.0, 1.0),
     bins: int = BINS,
+    most_targets: int = MOST_TARGETS,
 ) -> DataFrame:
     """Columns ``keys``, ``n`` and one ``pNN`` per percentile.
 
     Null and NaN values are left out. Groups with fewer than ``min_count``
     values (or not more, when not ``inclusive``) are dropped. ``value_range``
-    only spreads the bins; values outside it are still ranked exactly.
+    only spreads the bins; values outside it are still ranked exactly. The
+    histogram of ``binned`` is worked out when this is called.
     """
     v = F.col(value).cast("double")
     # One key column that is never null. Both uses of the counts below then
@@ -83,17 +91,10 @@ def grouped_percentiles(
         raise ValueError(f"unknown method {method!r}")
 
     bin_number = F.coalesce(bin_of(F.col("__v"), *value_range, bins), F.lit(0))
-    counted = rows.groupBy("__key", bin_number.alias("__bin"), "__v").agg(F.count("*").alias("__c"))
+    binned = rows.withColumn("__bin", bin_number)
     group = Window.partitionBy("__key")
     running = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    histogram = (
-        counted.groupBy("__key", "__bin")
-        .agg(F.sum("__c").alias("__in_bin"))
-        .withColumn("__to", F.sum("__in_bin").over(running))
-        .withColumn("n", F.sum("__in_bin").over(group))
-        .filter(_enough(F.col("n"), min_count, inclusive))
-        .withColumn("__before", F.col("__to") - F.col("__in_bin"))
-    )
+
     places = [(F.col("n") - 1) * F.lit(p / 100.0) for p in percentiles]
 
     def holds(rank: Column, start: Column, end: Column) -> Column:
@@ -107,18 +108,38 @@ def grouped_percentiles(
             for rank in (F.floor(place), F.ceil(place))
         ],
     )
-    # The bins that hold a wanted rank, at most two per percentile and group:
-    # hashed in each task, so the many values are never sorted for the join.
-    targets = histogram.filter(wanted).select("__key", "__bin", "__before", "n").hint("shuffle_hash")
+
+    def histogram(in_bins: DataFrame) -> DataFrame:
+        return (
+            in_bins.withColumn("__to", F.sum("__in_bin").over(running))
+            .withColumn("n", F.sum("__in_bin").over(group))
+            .filter(_enough(F.col("n"), min_count, inclusive))
+            .withColumn("__before", F.col("__to") - F.col("__in_bin"))
+            .filter(wanted)
+            .select("__key", "__bin", "__before", "n")
+        )
+
+    first_look = histogram(binned.groupBy("__key", "__bin").agg(F.count("*").alias("__in_bin")))
+    seen = first_look.limit(most_targets + 1).collect()
+    if len(seen) <= most_targets:
+        targets = F.broadcast(df.sparkSession.createDataFrame(seen, first_look.schema))
+        counted = (
+            binned.join(targets, ["__key", "__bin"])
+            .groupBy("__key", "__bin", "__v", "__before", "n")
+            .agg(F.count("*").alias("__c"))
+        )
+    else:
+        by_value = binned.groupBy("__key", "__bin", "__v").agg(F.count("*").alias("__c"))
+        in_bins = by_value.groupBy("__key", "__bin").agg(F.sum("__c").alias("__in_bin"))
+        # Hashed in each task, so the many values are never sorted for the join.
+        counted = by_value.join(histogram(in_bins).hint("shuffle_hash"), ["__key", "__bin"])
     in_bin = (
         Window.partitionBy("__key", "__bin")
         .orderBy("__v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = (
-        # Joined, ranked and summed on one partitioning by (group, bin).
-        counted.join(targets, ["__key", "__bin"])
-        .withColumn("__end", F.col("__before") + F.sum("__c").over(in_bin))
+        counted.withColumn("__end", F.col("__before") + F.sum("__c").over(in_bin))
         .withColumn("__start", F.col("__end") - F.col("__c"))
     )
     picks = []

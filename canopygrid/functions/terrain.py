@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from canopygrid.functions.bands import nan_to_null
+
 
 def slope_degrees(dx: Column, dy: Column) -> Column:
     return F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
@@ -28,8 +30,9 @@ def aspect_degrees(
 
 
 def aspect_side(aspect: Column, slope: Column | None = None, min_slope: float | None = None) -> Column:
-    """'south' in [135, 225], 'north' from 315 through 45, else 'neither'."""
-    steep = F.lit(True) if min_slope is None else F.coalesce(slope >= min_slope, F.lit(False))
+    """'south' in [135, 225], 'north' from 315 through 45, else 'neither', as without an aspect (null or NaN)."""
+    aspect = nan_to_null(aspect)
+    steep = F.lit(True) if min_slope is None else F.coalesce(nan_to_null(slope) >= min_slope, F.lit(False))
     return (
         F.when(steep & aspect.between(135, 225), F.lit("south"))
         .when(steep & ((aspect >= 315) | (aspect <= 45)), F.lit("north"))
@@ -38,7 +41,8 @@ def aspect_side(aspect: Column, slope: Column | None = None, min_slope: float |
 
 
 def steep(slope: Column, above: float = 15.0) -> Column:
-    return F.coalesce(slope > above, F.lit(False))
+    """False without a slope."""
+    return F.coalesce(nan_to_null(slope) > above, F.lit(False))
 
 
 def elevation_class(
@@ -48,6 +52,7 @@ def elevation_class(
 
     ``positive_low`` keeps only ground above zero in the low class.
     """
+    elevation = nan_to_null(elevation)
     low = elevation < low_below
     if positive_low:
         low = low & (elevation > 0)
@@ -59,5 +64,5 @@ def elevation_class(
 
 
 def elevation_band(elevation: Column, width: int = 200) -> Column:
-    """Lower bound of the uniform band a cell lies in."""
-    return (F.floor(elevation / width) * width).cast("int")
+    """Lower bound of the uniform band a cell lies in; null without elevation."""
+    return (F.floor(nan_to_null(elevation) / width) * width).cast("int")

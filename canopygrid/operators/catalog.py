@@ -171,9 +171,18 @@ def manifest_heal(
 
     status is 'kept' (file and entry), 'healed' (file without entry: a minimal
     entry of name and date), 'redownload' (entry whose file is gone), or 'new'.
+    Entries and files of scenes outside ``items`` stay; such a file has only its
+    name and the date in it. ``manifest`` lists entries by (index_name, filename).
     """
-    have = outputs.select("index_name", "filename", F.lit(True).alias("stored"))
-    known = manifest.select("index_name", "item", F.col("cloud_cover").alias("known_cloud"), F.lit(True).alias("listed"))
+    keys = ["index_name", "filename"]
+    have = outputs.select(*keys, F.lit(True).alias("stored"))
+    known = manifest.select(
+        *keys,
+        F.col("item").alias("known_item"),
+        F.col("day").alias("known_day"),
+        F.col("cloud_cover").alias("known_cloud"),
+        F.lit(True).alias("listed"),
+    )
     stored = F.coalesce("stored", F.lit(False))
     listed = F.coalesce("listed", F.lit(False))
     status = (
@@ -184,10 +193,16 @@ def manifest_heal(
     )
     return (
         _per_index(items, indices)
-        .join(have, ["index_name", "filename"], "left")
-        .join(known, ["index_name", "item"], "left")
+        .select(*keys, "item", "day")
+        .join(have, keys, "full")
+        .join(known, keys, "full")
         .select(
-            "index_name", "item", "filename", "day", F.col("known_cloud").alias("cloud_cover"), status.alias("status")
+            "index_name",
+            F.coalesce("item", "known_item").alias("item"),
+            "filename",
+            F.coalesce("day", "known_day", F.regexp_extract("filename", r"_(\d{8})[_.]", 1)).alias("day"),
+            F.col("known_cloud").alias("cloud_cover"),
+            status.alias("status"),
         )
     )
 
@@ -221,11 +236,9 @@ def available_years(layers: DataFrame, floor: int, name: str = "name") -> DataFr
     )
 
 
-def scene_groups(scenes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scenes and first/last day per year or (year, month)."""
-    return scenes.groupBy(*keys).agg(
-        F.count("*").alias("n_scenes"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
-    )
+def scene_groups(scenes: DataFrame, keys: Sequence[str], order: Sequence[str] = ("day", "item")) -> DataFrame:
+    """The scenes of each year or (year, month), a row each, ranked from 1 by ``order``."""
+    return scenes.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def incremental_skip(requested: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:

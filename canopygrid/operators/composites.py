@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopygrid.functions import bands as B
+from canopygrid.model import INDICES
+from canopygrid.operators.pixels import to_long
 
 LAYER = ("aoi", "index_name")
 CELL = ("row", "col")
@@ -26,6 +28,18 @@ def max_composite(cells: DataFrame, period: Sequence[str] = ("year",), cell: Seq
     )
 
 
+def max_composite_wide(
+    cells: DataFrame,
+    period: Sequence[str] = ("year",),
+    cell: Sequence[str] = CELL,
+    indices: Sequence[str] = INDICES,
+) -> DataFrame:
+    """The same from cells with a column per index: one row a cell is shuffled, and opened up afterwards."""
+    keys = ["aoi", *period, *cell]
+    highest = cells.groupBy(*keys).agg(*[F.max(F.when(B.finite(F.col(i)), F.col(i))).alias(i) for i in indices])
+    return to_long(highest, keys, indices).select(*LAYER, *period, *cell, "value")
+
+
 def composite_metadata(
     composites: DataFrame, scenes: DataFrame, grid_cells: DataFrame, period: Sequence[str] = ("year",)
 ) -> DataFrame:

@@ -125,10 +125,22 @@ def aoi_cells(vertices: DataFrame, grid: Grid) -> DataFrame:
 
 
 def with_aoi_flag(cells: DataFrame, vertices: DataFrame, grid: Grid) -> DataFrame:
-    """Adds in_aoi to (aoi, row, col) cells."""
-    inside = aoi_cells(vertices, grid).withColumn("in_aoi", F.lit(True))
-    return cells.join(inside, ["aoi", "row", "col"], "left").withColumn(
-        "in_aoi", F.coalesce("in_aoi", F.lit(False))
+    """Adds in_aoi to (aoi, row, col) cells.
+
+    Cells meet their row's runs, a handful of column ranges, so a small table
+    by row and not one of all inside cells is joined.
+    """
+    runs = aoi_spans(vertices, grid).groupBy("aoi", "row").agg(
+        F.collect_list(F.struct("col_from", "col_to")).alias("__runs")
+    )
+    inside = F.exists("__runs", lambda r: (F.col("col") >= r["col_from"]) & (F.col("col") < r["col_to"]))
+    return cells.join(runs, ["aoi", "row"], "left").withColumn("in_aoi", F.coalesce(inside, F.lit(False))).drop("__runs")
+
+
+def aoi_pixels(vertices: DataFrame, grid: Grid) -> DataFrame:
+    """Cells whose centre lies inside each area: (aoi, area_px), summed over runs."""
+    return aoi_spans(vertices, grid).groupBy("aoi").agg(
+        F.sum((F.col("col_to") - F.col("col_from")).cast("bigint")).alias("area_px")
     )
 
 

@@ -65,8 +65,31 @@ def index_cells(
 ) -> DataFrame:
     """Long form: ``keys``, index_name, value; cells without a value are absent.
 
+    Rows triple here: join strata and take maxima before.
+    """
+    wide = wide_cells(df, sensor, keys, indices, in_aoi=in_aoi, validity_scope=validity_scope, offset=offset)
+    return to_long(wide, keys, indices)
+
+
+def to_long(wide: DataFrame, keys: Sequence[str], indices: Sequence[str] = INDICES) -> DataFrame:
+    entries = [F.struct(F.lit(name).alias("index_name"), F.col(name).alias("value")) for name in indices]
+    return wide.select(*keys, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+
+
+def wide_cells(
+    df: DataFrame,
+    sensor: Sensor,
+    keys: Sequence[str],
+    indices: Sequence[str] = INDICES,
+    *,
+    in_aoi: Column | None = None,
+    validity_scope: str = "requested",
+    offset: float | None = None,
+) -> DataFrame:
+    """``keys`` and a column per index.
+
     Where all indices share one mask it is a plain filter on the bands, ahead
-    of the arithmetic and of the rows' tripling.
+    of the arithmetic.
     """
     if validity_scope == "requested":
         kept = df.filter(usable(sensor, indices, in_aoi=in_aoi))
@@ -75,10 +98,7 @@ def index_cells(
         wide = with_indices(
             df, sensor, indices, in_aoi=in_aoi, validity_scope=validity_scope, offset=offset
         )
-    entries = [
-        F.struct(F.lit(name).alias("index_name"), F.col(name).alias("value")) for name in indices
-    ]
-    return wide.select(*keys, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    return wide.select(*keys, *indices)
 
 
 def class_fill_outside(df: DataFrame, sensor: Sensor, in_aoi: str = "in_aoi") -> DataFrame:
@@ -89,22 +109,29 @@ def class_fill_outside(df: DataFrame, sensor: Sensor, in_aoi: str = "in_aoi") ->
 
 def scene_fractions(
     df: DataFrame,
+    areas: DataFrame,
     sensor: Sensor,
-    scene: Sequence[str],
+    scene: Sequence[str] = ("aoi", "scene_id"),
     indices: Sequence[str] = INDICES,
     in_aoi: str = "in_aoi",
+    cell: Sequence[str] = ("row", "col"),
 ) -> DataFrame:
-    """Snow and clear share of the area's cells per scene, to 4 decimals.
+    """Snow and clear share of the whole area's cells per scene, to 4 decimals.
 
-    Snow is counted before masking. Scenes without a cell in the area give null.
+    ``areas`` (aoi, area_px) has each area's number of cells, observed or not.
+    A cell counts once however often a scene observes it. Snow is counted
+    before masking. An area without cells gives null.
     """
     inside = F.col(in_aoi)
-    n = F.count_if(inside)
-    snow = F.count_if(inside & B.is_snow(sensor, F.col(sensor.quality)))
-    clear = F.count_if(usable(sensor, indices, in_aoi=inside))
+    seen = df.groupBy(*scene, *cell).agg(
+        F.coalesce(F.bool_or(inside & B.is_snow(sensor, F.col(sensor.quality))), F.lit(False)).alias("snow"),
+        F.coalesce(F.bool_or(usable(sensor, indices, in_aoi=inside)), F.lit(False)).alias("clear"),
+    )
     return (
-        df.groupBy(*scene)
-        .agg(n.alias("area_px"), snow.alias("snow_px"), clear.alias("clear_px"))
+        seen.groupBy(*scene)
+        .agg(F.count_if("snow").alias("snow_px"), F.count_if("clear").alias("clear_px"))
+        .join(areas, "aoi", "left")
+        .withColumn("area_px", F.coalesce("area_px", F.lit(0).cast("bigint")))
         .withColumn("snow_frac", F.round(F.try_divide("snow_px", "area_px"), 4))
         .withColumn(sensor.fraction_column, F.round(F.try_divide("clear_px", "area_px"), 4))
     )

@@ -43,7 +43,7 @@ def mask_coverage(cells: DataFrame, masks: Mapping[str, Column], km2: float = CE
 
 def mask_overlap_audit(cells: DataFrame, min_slope: float | None = None) -> DataFrame:
     """South and north counts, their overlap, and aspect and slope range of each."""
-    aspect, slope = F.col("aspect"), F.col("slope")
+    aspect, slope = B.nan_to_null(F.col("aspect")), B.nan_to_null(F.col("slope"))
     steep_enough = F.lit(True) if min_slope is None else slope >= min_slope
     south = aspect.between(135, 225) & steep_enough
     north = ((aspect >= 315) | (aspect <= 45)) & steep_enough

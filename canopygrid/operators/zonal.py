@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.functions import terrain
 from canopygrid.functions.quantiles import grouped_percentiles, percentile_name
-from canopygrid.model import AOIS, ECOZONES, INDICES
+from canopygrid.model import ECOZONES, INDICES
 from canopygrid.operators import strata as S
 
 LAYER = ("aoi", "index_name")
@@ -26,24 +26,39 @@ DORMANT = (11, 12, 1, 2, 3)
 CLASSES = ("wet", "neutral", "dry")
 
 
-def scaffold(spark: SparkSession, **dims: Sequence) -> DataFrame:
-    """Every combination of a few fixed values, so that missing ones show as null."""
-    out = spark.range(1).select()
+def framed(means: DataFrame, keys: Sequence[str], **dims: Sequence) -> DataFrame:
+    """All combinations of the fixed values ``dims`` within each of ``keys``, missing ones null and n_scenes 0.
+
+    The keys, such as areas and indices, are those of the rows. A group holds
+    at most one row per combination, so it is opened up in place.
+    """
+    others = [c for c in means.columns if c not in (*keys, *dims)]
+    row = F.struct(F.struct(*dims).alias("key"), F.struct(*others).alias("value"))
+    out = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(row)).alias("__rows"))
     for name, values in dims.items():
-        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return out
+        kind = means.schema[name].dataType
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
+    value = F.try_element_at("__rows", F.struct(*dims))
+    columns = [value[c].alias(c) if c != "n_scenes" else F.coalesce(value[c], F.lit(0)).alias(c) for c in others]
+    return out.select(*keys, *dims, *columns)
 
 
-def with_traits(cells: DataFrame, traits: DataFrame, columns: Sequence[str], cell: Sequence[str] = CELL) -> DataFrame:
-    """Stratum columns of each cell, by position.
+def with_traits(
+    cells: DataFrame, traits: DataFrame, columns: Sequence[str], cell: Sequence[str] | None = None
+) -> DataFrame:
+    """Stratum columns of each cell, by position, and by area where each has traits of its own.
 
-    A plain equi-join: Spark broadcasts a trait table it measures as small and
+    Traits without an aoi column are of one grid that all areas share. A plain
+    equi-join: Spark broadcasts a trait table it measures as small and
     otherwise sorts and merges, splitting hot cells.
     """
-    return cells.join(traits.select(*cell, *columns), list(cell))
+    cell = list(cell or (*_area(traits), *CELL))
+    if missing := set(cell) - set(cells.columns):
+        raise ValueError(f"cells lack {sorted(missing)} to tell their traits by")
+    return cells.join(traits.select(*cell, *columns), cell)
 
 
-def in_ecozones(cells: DataFrame, traits: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
+def in_ecozones(cells: DataFrame, traits: DataFrame, cell: Sequence[str] | None = None) -> DataFrame:
     zones = traits.filter(F.col("ecozone").isin(*ECOZONES))
     return with_traits(cells, zones, ["ecozone"], cell)
 
@@ -122,10 +137,12 @@ def ecozone_pixels(traits: DataFrame) -> DataFrame:
 
 
 def peak_productivity(scenes: DataFrame, traits: DataFrame, percentiles: Sequence[float] = (95, 99, 100)) -> DataFrame:
-    """Mean scene percentiles per area, index and ecozone, with the zone's size."""
-    return mean_over_scenes(scenes, [*LAYER, "ecozone"], percentiles).join(
-        ecozone_pixels(traits), [*_area(traits), "ecozone"]
-    )
+    """Mean scene percentiles per area, index and ecozone, with the zone's size.
+
+    Zones that the traits have and no scene covers are null with 0 scenes.
+    """
+    means = mean_over_scenes(scenes, [*LAYER, "ecozone"], percentiles)
+    return framed(means, LAYER, ecozone=ECOZONES).join(ecozone_pixels(traits), [*_area(traits), "ecozone"])
 
 
 def summary_wide(
@@ -153,16 +170,13 @@ def index_pairs(tidy: DataFrame, keys: Sequence[str], value: str = "p95") -> Dat
 def seasonal_curves(
     scenes: DataFrame,
     percentiles: Sequence[float] = (95, 100),
-    *,
-    aois: Sequence[str] = AOIS,
-    indices: Sequence[str] = INDICES,
 ) -> DataFrame:
-    """Mean scene percentiles per calendar month and ecozone, years pooled; empty months are null."""
+    """Mean scene percentiles per calendar month and ecozone, years pooled; empty months are null.
+
+    Every area and index of the scenes is listed.
+    """
     means = mean_over_scenes(scenes, [*LAYER, "month", "ecozone"], percentiles)
-    frame = scaffold(scenes.sparkSession, aoi=aois, index_name=indices, month=MONTHS, ecozone=ECOZONES)
-    return frame.join(means, [*LAYER, "month", "ecozone"], "left").withColumn(
-        "n_scenes", F.coalesce("n_scenes", F.lit(0).cast("bigint"))
-    )
+    return framed(means, LAYER, month=MONTHS, ecozone=ECOZONES)
 
 
 def seasonal_scene_count(curves: DataFrame) -> DataFrame:
@@ -191,15 +205,15 @@ def season_partition(scenes: DataFrame) -> DataFrame:
 
 
 def moisture_amplitude(scene_p95: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Growing minus dormant mean p95 per ecozone; null when a season has none.
+    """Growing minus dormant mean p95 per ecozone, all zones listed; null when a season has none.
 
     Scene counts cover all scenes of a season, contributing or not.
     """
     season = season_of(F.col("month"))
-    means = scene_p95.groupBy("aoi", "ecozone").agg(
+    means = framed(scene_p95.groupBy("aoi", "ecozone").agg(
         F.avg(F.when(season == "growing", F.col("p95"))).alias("growing_p95"),
         F.avg(F.when(season == "dormant", F.col("p95"))).alias("dormant_p95"),
-    )
+    ), ["aoi"], ecozone=ECOZONES)
     counts = scenes.groupBy("aoi").agg(
         F.count_if(season == "growing").alias("growing_scenes"),
         F.count_if(season == "dormant").alias("dormant_scenes"),
@@ -221,19 +235,14 @@ def drought_response(
     scenes: DataFrame,
     year_class: DataFrame,
     percentiles: Sequence[float] = (95, 99, 100),
-    *,
-    aois: Sequence[str] = AOIS,
-    indices: Sequence[str] = INDICES,
 ) -> DataFrame:
-    """Mean scene percentiles per moisture class and ecozone; missing combinations are null."""
+    """Mean scene percentiles per moisture class and ecozone; missing combinations are null.
+
+    Every area and index with a classified scene is listed.
+    """
     keys = [*LAYER, "classification", "ecozone"]
     means = mean_over_scenes(with_year_class(scenes, year_class), keys, percentiles)
-    frame = scaffold(
-        scenes.sparkSession, aoi=aois, index_name=indices, classification=CLASSES, ecozone=ECOZONES
-    )
-    return frame.join(means, keys, "left").withColumn(
-        "n_scenes", F.coalesce("n_scenes", F.lit(0).cast("bigint"))
-    )
+    return framed(means, LAYER, classification=CLASSES, ecozone=ECOZONES)
 
 
 def drought_scene_counts(scenes: DataFrame, year_class: DataFrame) -> DataFrame:
@@ -275,10 +284,13 @@ def elevation_gradient(
     width: int = 200,
     min_band_px: int = 5000,
     min_pixels: int = 200,
-    cell: Sequence[str] = CELL,
+    cell: Sequence[str] | None = None,
     method: str = "binned",
 ) -> DataFrame:
-    """Mean scene p95 per elevation band: one row per area and band, a column per index."""
+    """Mean scene p95 per elevation band: one row per area and band, a column per index.
+
+    Bands with enough cells are listed for every area with scenes, null where none qualifies.
+    """
     band = [*_area(traits), "lo"]
     bands = S.elevation_bands(traits, width, min_band_px, _area(traits))
     banded = traits.withColumn("lo", terrain.elevation_band(F.col("elevation"), width))
@@ -288,7 +300,22 @@ def elevation_gradient(
     )
     means = mean_over_scenes(scenes, [*LAYER, "lo"], (95,))
     wide = means.groupBy("aoi", "lo").pivot("index_name", list(INDICES)).agg(F.first("p95"))
-    return wide.join(bands, band).select(
+    # A row per area and band from here on.
+    if "aoi" in band:
+        listed = bands.join(wide, band, "left")
+    else:
+        found, band_rows = F.struct("aoi", "lo", *INDICES).alias("__w"), F.struct(*bands.columns).alias("__b")
+        both = wide.select(found).unionByName(bands.select(band_rows), allowMissingColumns=True)
+        opened = (
+            both.agg(F.collect_list("__w").alias("__w"), F.collect_list("__b").alias("__b"))
+            .select(F.explode(F.array_distinct("__w.aoi")).alias("aoi"), "__w", "__b")
+            .select("aoi", "__w", F.inline("__b"))
+        )
+        own = F.filter("__w", lambda w: (w["aoi"] == F.col("aoi")) & (w["lo"] == F.col("lo")))
+        listed = opened.withColumn("__v", F.get(own, 0)).select(
+            "aoi", *bands.columns, *[F.col("__v")[i].alias(i) for i in INDICES]
+        )
+    return listed.select(
         "aoi", "lo", "hi", "mid", "n_px", *[F.col(i).alias(f"{i}_p95") for i in INDICES]
     )
 

@@ -114,18 +114,17 @@ def scan_aoi(spark, sf):
 
 
 def sink_cells(spark, sf):
-    """Annual layers and their tags, written and read back by partition."""
+    """Annual layers of every series and their tags, written and read back."""
     path, tags = shared_folder(spark, "cells"), shared_folder(spark, "layers")
-    annual = composites.max_composite(fx.cells(spark, sf)).withColumn("sensor", F.lit("sentinel-2"))
+    annual = composites.max_composite_wide(fx.wide_cells(spark, sf)).withColumn("sensor", F.lit("sentinel-2"))
     writers.write_cells(annual, path, tile=16)
     back = spark.read.parquet(path)
-    obs = fx.obs(spark, sf)
+    scenes = fx.obs(spark, sf).select("aoi", "scene_id", "platform", "year").distinct()
     writers.write_catalog(
-        composites.composite_metadata(back, obs, fx.grid_cells(spark, sf)), tags
+        composites.composite_metadata(back, scenes, fx.grid_cells(spark, sf)), tags
     )
     return (
-        readers.layer_cells(back, "sentinel-2", "south", "NDMI")
-        .join(spark.read.parquet(tags).select("aoi", "index_name", "year", "scene_count"), ["aoi", "index_name", "year"])
+        back.join(spark.read.parquet(tags).select("aoi", "index_name", "year", "scene_count"), ["aoi", "index_name", "year"])
         .select("aoi", "index_name", "year", "row", "col", F.round("value", 6).alias("value"), "scene_count")
     )
 
@@ -149,7 +148,7 @@ def sink_inventory(spark, sf):
 
 def sink_table(spark, sf):
     path = shared_folder(spark, "table")
-    stats = composites.anomaly_stats(composites.anomaly(composites.max_composite(fx.cells(spark, sf))))
+    stats = composites.anomaly_stats(composites.anomaly(composites.max_composite_wide(fx.wide_cells(spark, sf))))
     columns = ["aoi", "index_name", "year", "n_px", "mean_anomaly", "min_anomaly", "max_anomaly"]
     writers.write_table(stats, path, columns)
     return spark.read.parquet(path)
@@ -263,9 +262,7 @@ def manifest_heal(spark, sf):
 def manifest_rebuild(spark, sf):
     names = F.array(*[F.lit(i) for i in INDICES])
     wanted = fx.scenes(spark, sf).withColumn("index_name", F.explode(names))
-    # One month of each year has lost its layers.
-    cells = fx.cells(spark, sf).filter(F.col("month") != F.col("year") % 12 + 1)
-    return catalog.manifest_rebuild(wanted, cells, fx.grid_cells(spark, sf)).select(
+    return catalog.manifest_rebuild(wanted, fx.cells(spark, sf), fx.grid_cells(spark, sf)).select(
         "aoi", "index_name", "scene_id", "valid_px", F.round("veg_coverage", 6).alias("veg_coverage"), "missing"
     )
 
@@ -284,12 +281,12 @@ def available_years(spark, sf):
 
 def scene_group_year(spark, sf):
     s = fx.scenes_s2(spark, sf).withColumn("year", F.year("obs_ts"))
-    return catalog.scene_groups(s, ["year"])
+    return catalog.scene_groups(s, ["year"]).select("year", "rank", "item", "day", "tile")
 
 
 def scene_group_month(spark, sf):
     s = fx.scenes_s2(spark, sf).withColumns({"year": F.year("obs_ts"), "month": F.month("obs_ts")})
-    return catalog.scene_groups(s, ["year", "month"])
+    return catalog.scene_groups(s, ["year", "month"]).select("year", "month", "rank", "item", "day", "tile")
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from canopygrid.functions import naming
 from canopygrid.model import INDICES, LANDSAT, SENTINEL2, Grid
-from canopygrid.operators import catalog, pixels
+from canopygrid.operators import catalog, pixels, zonal
 
 WIDTH = 50
 SCENE_KEYS = ("aoi", "scene_id", "year", "month")
@@ -108,6 +108,26 @@ def cells(spark: SparkSession, sf: str, indices=INDICES, **options) -> DataFrame
     return pixels.index_cells(obs(spark, sf), SENTINEL2, CELL_KEYS, indices, **options)
 
 
+def wide_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, a column per index."""
+    return pixels.wide_cells(obs(spark, sf), SENTINEL2, CELL_KEYS)
+
+
+def cells_with(spark: SparkSession, sf: str, columns, sensor=SENTINEL2) -> DataFrame:
+    """Long index cells with columns of their traits, joined to the bands before rows triple."""
+    source = obs if sensor is SENTINEL2 else obs_landsat
+    joined = zonal.with_traits(source(spark, sf), traits(spark, sf), columns)
+    return pixels.index_cells(joined, sensor, (*CELL_KEYS, *columns))
+
+
+def zoned_cells(spark: SparkSession, sf: str, sensor=SENTINEL2) -> DataFrame:
+    """Long index cells of the ecozones, the zones joined likewise."""
+    source = obs if sensor is SENTINEL2 else obs_landsat
+    return pixels.index_cells(
+        zonal.in_ecozones(source(spark, sf), traits(spark, sf)), sensor, (*CELL_KEYS, "ecozone")
+    )
+
+
 def cells_landsat(spark: SparkSession, sf: str, indices=INDICES, **options) -> DataFrame:
     return pixels.index_cells(obs_landsat(spark, sf), LANDSAT, CELL_KEYS, indices, **options)
 
@@ -138,6 +158,8 @@ def stac(spark: SparkSession, sf: str) -> DataFrame:
         ts.alias("obs_ts"),
         F.when(key % 17 != 0, (cust % 100).cast("double")).alias("cloud_cover"),
         F.when(key % 23 == 0, F.lit("S2A_MSIL2A_NOTILE"))
+        .when(key % 29 == 0, F.lit("S2A_MSIL2A_T17SPAXX_T17S"))
+        .when(key % 31 == 0, F.concat(F.lit("S2A_T1_MSIL2A_"), tile, F.lit("_T18TWL")))
         .otherwise(F.concat(F.lit("S2A_MSIL2A_"), F.year(ts).cast("string"), F.lit("_"), tile))
         .alias("scene_id"),
         _case("o_orderstatus", {"F": "landsat-5", "O": "landsat-8"}, "landsat-4").alias("platform"),
@@ -179,15 +201,15 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def year_class(spark: SparkSession, sf: str) -> DataFrame:
-    """Moisture class of each year with a scene; 2001 is left out, so some scenes are unclassified."""
+    """Moisture class of the years with a scene; every fourth year fits no class and has no row."""
     shift = F.when(F.col("aoi") == "north", 0).otherwise(1)
-    kind = (F.col("year") + shift) % 3
+    kind = (F.col("year") + shift) % 4
     return (
         scenes(spark, sf)
         .select("aoi", "year")
-        .filter(F.col("year") != 2001)
         .distinct()
-        .withColumn("classification", F.when(kind == 0, "wet").when(kind == 1, "neutral").otherwise("dry"))
+        .withColumn("classification", F.when(kind == 0, "wet").when(kind == 1, "neutral").when(kind == 2, "dry"))
+        .filter("classification IS NOT NULL")
         .withColumn("usdm_net_score", ((F.col("year") * 37 + shift * 11) % 80 - 30).cast("double"))
     )
 

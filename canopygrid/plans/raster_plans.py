@@ -84,12 +84,7 @@ def index_dispatch(spark, sf):
 
 def flagged_obs(spark, sf, source=fx.obs):
     """Observations with whether their cell lies inside the area."""
-    inside = grid.aoi_cells(fx.vertices(spark, sf), fx.GRID).withColumn("in_aoi", F.lit(True))
-    return (
-        source(spark, sf)
-        .join(inside, ["aoi", "row", "col"], "left")
-        .withColumn("in_aoi", F.coalesce("in_aoi", F.lit(False)))
-    )
+    return grid.with_aoi_flag(source(spark, sf), fx.vertices(spark, sf), fx.GRID)
 
 
 def combined_mask(spark, sf):
@@ -108,8 +103,9 @@ def class_fill_outside(spark, sf):
 
 
 def snow_fraction(spark, sf):
-    out = pixels.scene_fractions(flagged_obs(spark, sf), SENTINEL2, ["aoi", "scene_id"])
-    qa = pixels.scene_fractions(flagged_obs(spark, sf, fx.obs_landsat), LANDSAT, ["aoi", "scene_id"])
+    areas = grid.aoi_pixels(fx.vertices(spark, sf), fx.GRID)
+    out = pixels.scene_fractions(flagged_obs(spark, sf), areas, SENTINEL2)
+    qa = pixels.scene_fractions(flagged_obs(spark, sf, fx.obs_landsat), areas, LANDSAT)
     keep = ["aoi", "scene_id", "area_px", "snow_px", "snow_frac"]
     return (
         out.select(F.lit(SENTINEL2.name).alias("sensor"), *keep)
@@ -118,8 +114,9 @@ def snow_fraction(spark, sf):
 
 
 def clear_fraction(spark, sf):
-    out = pixels.scene_fractions(flagged_obs(spark, sf), SENTINEL2, ["aoi", "scene_id"])
-    qa = pixels.scene_fractions(flagged_obs(spark, sf, fx.obs_landsat), LANDSAT, ["aoi", "scene_id"])
+    areas = grid.aoi_pixels(fx.vertices(spark, sf), fx.GRID)
+    out = pixels.scene_fractions(flagged_obs(spark, sf), areas, SENTINEL2)
+    qa = pixels.scene_fractions(flagged_obs(spark, sf, fx.obs_landsat), areas, LANDSAT)
     keep = ["aoi", "scene_id", "area_px", "clear_px"]
     return (
         out.select(F.lit(SENTINEL2.name).alias("sensor"), *keep, "clear_frac")
@@ -310,11 +307,11 @@ def class_topk(spark, sf):
 
 
 def annual(spark, sf):
-    return composites.max_composite(fx.cells(spark, sf))
+    return composites.max_composite_wide(fx.wide_cells(spark, sf))
 
 
 def monthly(spark, sf):
-    return composites.max_composite(fx.cells(spark, sf), ("year", "month"))
+    return composites.max_composite_wide(fx.wide_cells(spark, sf), ("year", "month"))
 
 
 def annual_max(spark, sf):
@@ -328,16 +325,15 @@ def monthly_max(spark, sf):
 def composite_drop_empty(spark, sf):
     """Months with a scene, and whether a composite is left after masking."""
     wanted = fx.layers(spark, sf, ("year", "month"))
-    masked = fx.cells(spark, sf).filter(F.col("month") != F.col("year") % 12 + 1)
-    made = composites.max_composite(masked, ("year", "month")).groupBy("aoi", "index_name", "year", "month").agg(
+    made = monthly(spark, sf).groupBy("aoi", "index_name", "year", "month").agg(
         F.count("*").alias("valid_px")
     )
     return wanted.join(made, ["aoi", "index_name", "year", "month"])
 
 
 def composite_metadata(spark, sf):
-    obs = fx.obs(spark, sf).select("aoi", "scene_id", "platform", "year")
-    return composites.composite_metadata(annual(spark, sf), obs, fx.grid_cells(spark, sf)).withColumn(
+    scenes = fx.obs(spark, sf).select("aoi", "scene_id", "platform", "year").distinct()
+    return composites.composite_metadata(annual(spark, sf), scenes, fx.grid_cells(spark, sf)).withColumn(
         "valid_pct", F.round("valid_pct", 6)
     )
 

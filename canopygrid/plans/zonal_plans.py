@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopygrid.model import INDICES
+from canopygrid.model import INDICES, LANDSAT
 from canopygrid.operators import crosstab, strata, trend, zonal
 from canopygrid.plans import fixtures as fx
 from canopygrid.plans.raster_plans import MIN_CLASS_PX, monthly
@@ -20,8 +20,7 @@ def rounded(df):
 
 def scene_p(spark, sf, percentiles=(95, 99, 100), *, indices=INDICES, min_pixels=MIN_PIXELS, method="binned"):
     """Percentiles per scene and ecozone; masks are those of all indices whichever are kept."""
-    cells = fx.cells(spark, sf).filter(F.col("index_name").isin(*indices))
-    zoned = zonal.in_ecozones(cells, fx.traits(spark, sf))
+    zoned = fx.zoned_cells(spark, sf).filter(F.col("index_name").isin(*indices))
     return zonal.zonal_percentiles(zoned, ["ecozone"], percentiles, min_pixels=min_pixels, method=method)
 
 
@@ -39,7 +38,7 @@ def peak_productivity(spark, sf):
 
 def peak_productivity_landsat(spark, sf):
     """The same of the other sensor, whose scenes keep fewer cells."""
-    zoned = zonal.in_ecozones(fx.cells_landsat(spark, sf), fx.traits(spark, sf))
+    zoned = fx.zoned_cells(spark, sf, LANDSAT)
     scenes = zonal.zonal_percentiles(zoned, ["ecozone"], min_pixels=5)
     return rounded(zonal.peak_productivity(scenes, fx.traits(spark, sf)))
 
@@ -169,7 +168,7 @@ def elevation_gradient(spark, sf):
 
 
 def with_aspect(spark, sf):
-    return zonal.with_traits(fx.cells(spark, sf), fx.traits(spark, sf), ["aspect"])
+    return fx.cells_with(spark, sf, ["aspect"])
 
 
 def series(spark, sf):
@@ -208,7 +207,7 @@ def strata_percentiles(spark, sf):
 
 
 def by_elevation(spark, sf):
-    cells = zonal.with_traits(fx.cells(spark, sf), fx.traits(spark, sf), ["elevation"])
+    cells = fx.cells_with(spark, sf, ["elevation"])
     return zonal.zonal_percentiles(
         zonal.by_elevation_class(cells), ["stratum"], (50, 75, 90), min_pixels=5, inclusive=False
     )

@@ -39,10 +39,12 @@ def get_session(app_name: str = "canopygrid", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder every executor can reach.
 
-    Lies under ``spark.checkpoint.dir``; only where the session names none
-    (local runs and tests) is a temporary folder of this machine used.
+    Lies under ``spark.checkpoint.dir``. Only a session in one process (local
+    runs and tests) may name none; it gets a temporary folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -25,6 +25,16 @@ def read_cells(spark: SparkSession, path: str, sensor: str, aoi: str, index_name
     return layer_cells(spark.read.parquet(path), sensor, aoi, index_name)
 
 
+def trait_cells(traits: DataFrame) -> DataFrame:
+    """Static cell properties; NaN, as rasters mark flat or missing ground, becomes null."""
+    real = {f.name for f in traits.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return traits.select(*[nan_to_null(F.col(c)).alias(c) if c in real else F.col(c) for c in traits.columns])
+
+
+def read_traits(spark: SparkSession, path: str) -> DataFrame:
+    return trait_cells(spark.read.parquet(path))
+
+
 def parse_manifest(documents: DataFrame, column: str = "value") -> DataFrame:
     """Scene rows from manifest documents {scene_id: {filename, date, ...}}.
 

@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopygrid.model import MANIFEST_ENTRY, TILE
+from canopygrid.session import shared_folder
 
 STORE_PARTITIONS = ("sensor", "aoi", "index_name", "year")
 
 
+def store_partitions(cells: DataFrame) -> tuple[str, ...]:
+    """Composites lie by series and year, scene cells by scene within it."""
+    return (*STORE_PARTITIONS, "scene_id") if "scene_id" in cells.columns else STORE_PARTITIONS
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def write_cells(cells: DataFrame, path: str, *, mode: str = "overwrite", tile: int = TILE) -> None:
-    """Cell store partitioned by layer series and year, clustered by storage tile.
+    """Cell store clustered by storage tile: composites by series and year, scene cells by scene too.
 
     Rows are rebalanced on (partition, tile): large partitions are split over
-    several tasks and small ones share one. Only partitions present in
-    ``cells`` are replaced.
+    several tasks and small ones share one. The composites of a year, or the
+    scenes, that ``cells`` has are replaced; all others stay.
     """
+    parts = store_partitions(cells)
     tiled = cells.withColumns(
         {
             "tile_row": F.floor(F.col("row") / tile).cast("int"),
@@ -26,15 +43,34 @@ def write_cells(cells: DataFrame, path: str, *, mode: str = "overwrite", tile: i
         }
     )
     (
-        tiled.hint("rebalance", *STORE_PARTITIONS, "tile_row", "tile_col")
-        .sortWithinPartitions(*STORE_PARTITIONS, "tile_row", "tile_col", "row", "col")
+        tiled.hint("rebalance", *parts, "tile_row", "tile_col")
+        .sortWithinPartitions(*parts, "tile_row", "tile_col", "row", "col")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*STORE_PARTITIONS)
+        .partitionBy(*parts)
         .parquet(path)
     )
 
 
+def merge_cells(cells: DataFrame, path: str, *, tile: int = TILE) -> None:
+    """Add cells to a store: those of the same partition and position are replaced, the rest of it stays.
+
+    Only partitions that ``cells`` touches are read and rewritten, by way of
+    the shared folder. Giving the same cells twice changes nothing.
+    """
+    spark = cells.sparkSession
+    old = _stored(spark, path)
+    if old is not None:
+        parts = list(store_partitions(cells))
+        before = old.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in cells.schema.fields])
+        before = before.join(cells.select(*parts).distinct(), parts, "left_semi")
+        rest = before.join(cells.select(*parts, "row", "col"), [*parts, "row", "col"], "left_anti")
+        merged = shared_folder(spark, "cells-merged")
+        cells.unionByName(rest).write.parquet(merged)
+        cells = spark.read.schema(cells.schema).parquet(merged)
+    write_cells(cells, path, tile=tile)
+
+
 def write_catalog(layers: DataFrame, path: str) -> None:
     """Tags of composite layers (scene count, platforms, valid share), a row per layer."""
     layers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
@@ -51,10 +87,29 @@ def manifest_documents(scenes: DataFrame) -> DataFrame:
 
 
 def write_manifest(scenes: DataFrame, path: str) -> None:
-    """Manifest as text, a document per line, so that no task holds all scenes."""
+    """Manifest as text, a document per line, so that no task holds all scenes; replaces the folder."""
     manifest_documents(scenes).write.mode("overwrite").text(path)
 
 
+def update_manifest(scenes: DataFrame, path: str) -> None:
+    """Add or replace the entries of ``scenes``; entries of other scenes stay as they are."""
+    from canopygrid.sources.readers import read_manifest
+
+    spark = scenes.sparkSession
+    try:
+        old = read_manifest(spark, path, lines=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write_manifest(scenes, path)
+        return
+    names = ["scene_id", *[f.name for f in MANIFEST_ENTRY]]
+    rest = old.select(*names).join(scenes.select("scene_id"), "scene_id", "left_anti")
+    merged = shared_folder(spark, "manifest-merged")
+    scenes.select(*[n for n in names if n in scenes.columns]).unionByName(rest, allowMissingColumns=True).write.parquet(merged)
+    write_manifest(spark.read.parquet(merged), path)
+
+
 def inventory_documents(groups: DataFrame, code: str = "forest_group") -> DataFrame:
     """One {code: {label, pixels, km2}} document per group."""
     return groups.select(

@@ -2,7 +2,8 @@
 
 Each run picks up the band files that arrived since the last one, turns them
 into index cells and appends them. The checkpoint remembers what is done, so an
-interrupted run goes on where it stopped and finished scenes are skipped.
+interrupted run goes on where it stopped and finished scenes are skipped. The
+store is the one that ``write_cells`` keeps; both may add to it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from canopygrid.model import INDICES, Sensor
 from canopygrid.operators.pixels import index_cells
-from canopygrid.sources.writers import STORE_PARTITIONS
+from canopygrid.sources.writers import merge_cells
 
 STORE_KEYS = ("aoi", "scene_id", "year", "month", "row", "col")
 
@@ -34,18 +35,15 @@ def append_cells(
     indices: Sequence[str] = INDICES,
     keys: Sequence[str] = STORE_KEYS,
 ) -> StreamingQuery:
-    """Appends the index cells of all files not yet processed, then stops.
+    """Merges the index cells of all files not yet processed into the store, then stops.
 
-    Stateless, so there is no shuffle and no state to keep; the file sink
-    writes each input exactly once.
+    Stateless: each batch is merged by scene and position, so a batch that is
+    repeated after a failure leaves the same store.
     """
     cells = index_cells(bands, sensor, keys, indices).withColumn("sensor", F.lit(sensor.name))
     return (
-        cells.writeStream.format("parquet")
-        .partitionBy(*STORE_PARTITIONS)
-        .option("path", store)
+        cells.writeStream.foreachBatch(lambda batch, _: merge_cells(batch, store))
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

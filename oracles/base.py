@@ -24,7 +24,7 @@ CLEAR_LANDSAT = "(qa & 46) = 0"
 _EVI = (
     "CASE WHEN {n} + 6.0::DOUBLE * {r} - 7.5::DOUBLE * {b} + 1.0::DOUBLE <> 0 "
     "THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 2.5::DOUBLE * ({n} - {r}) / ({n} + 6.0::DOUBLE * {r} - 7.5::DOUBLE * {b} + 1.0::DOUBLE))) "
-    "WHEN {n} - {r} <> 0 THEN sign({n} - {r})::DOUBLE END"
+    "WHEN {b} IS NULL THEN NULL WHEN {n} - {r} <> 0 THEN sign({n} - {r})::DOUBLE END"
 )
 
 
@@ -114,15 +114,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "classes": ((), "SELECT * FROM (VALUES ('wet', 1), ('neutral', 2), ('dry', 3)) AS c(classification, step)"),
     "year_class": (
         ("scenes",),
-        """SELECT aoi, year, CASE (year + k) % 3 WHEN 0 THEN 'wet' WHEN 1 THEN 'neutral' ELSE 'dry' END AS classification,
+        """SELECT aoi, year, CASE (year + k) % 4 WHEN 0 THEN 'wet' WHEN 1 THEN 'neutral' WHEN 2 THEN 'dry' END AS classification,
             CAST((year * 37 + k * 11) % 80 - 30 AS DOUBLE) AS usdm_net_score
-        FROM (SELECT DISTINCT aoi, year, CASE WHEN aoi = 'north' THEN 0 ELSE 1 END AS k FROM scenes WHERE year <> 2001)""",
+        FROM (SELECT DISTINCT aoi, year, CASE WHEN aoi = 'north' THEN 0 ELSE 1 END AS k FROM scenes) WHERE (year + k) % 4 < 3""",
     ),
     "stac": (
         (),
         """SELECT o_orderkey AS item, o_orderdate AS obs_ts,
             CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_custkey % 100 AS DOUBLE) END AS cloud_cover,
-            CASE WHEN o_orderkey % 23 = 0 THEN 'S2A_MSIL2A_NOTILE'
+            CASE WHEN o_orderkey % 23 = 0 THEN 'S2A_MSIL2A_NOTILE' WHEN o_orderkey % 29 = 0 THEN 'S2A_MSIL2A_T17SPAXX_T17S'
+                 WHEN o_orderkey % 31 = 0 THEN concat('S2A_T1_MSIL2A_T17SP', substring('ABCD', CAST(o_custkey % 4 AS INT) + 1, 1), '_T18TWL')
                  ELSE concat('S2A_MSIL2A_', CAST(year(o_orderdate) AS VARCHAR), '_T17SP', substring('ABCD', CAST(o_custkey % 4 AS INT) + 1, 1)) END AS scene_id,
             CASE o_orderstatus WHEN 'F' THEN 'landsat-5' WHEN 'O' THEN 'landsat-8' ELSE 'landsat-4' END AS platform,
             CASE WHEN o_orderkey % 19 <> 0 THEN CAST(16 + o_custkey % 3 AS VARCHAR) END AS wrs_path,
@@ -134,7 +135,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "stac_named": (
         ("stac",),
         """SELECT *, strftime(obs_ts, '%Y%m%d') AS day,
-            CASE WHEN scene_id LIKE '%NOTILE' THEN 'unknown' ELSE split_part(scene_id, '_', 4) END AS tile FROM stac""",
+            coalesce(list_filter(string_split(scene_id, '_'), lambda p: starts_with(p, 'T') AND length(p) = 6)[1], 'unknown') AS tile FROM stac""",
     ),
     "scenes_s2": (
         ("stac_named",),
@@ -211,16 +212,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         GROUP BY 1, 2, 3, 4""",
     ),
     "response": (
-        ("aois", "indices", "classes", "zones", "scene_p", "year_class"),
+        ("classes", "zones", "scene_p", "year_class"),
         """SELECT f.*, count(s.p95) AS n_scenes, avg(s.p95) AS p95, avg(s.p99) AS p99, avg(s.p100) AS p100
-        FROM (SELECT * FROM aois CROSS JOIN indices CROSS JOIN classes CROSS JOIN zones) f
+        FROM (SELECT * FROM (SELECT DISTINCT aoi, index_name FROM scene_p JOIN year_class USING (aoi, year)) CROSS JOIN classes CROSS JOIN zones) f
         LEFT JOIN (SELECT scene_p.*, classification FROM scene_p JOIN year_class USING (aoi, year)) s USING (aoi, index_name, classification, ecozone)
         GROUP BY ALL""",
     ),
     "curves": (
-        ("aois", "indices", "zones", "scene_p"),
+        ("zones", "scene_p"),
         """SELECT f.*, count(s.p95) AS n_scenes, avg(s.p95) AS p95, avg(s.p100) AS p100
-        FROM (SELECT aoi, index_name, CAST(m AS INT) AS month, ecozone FROM aois CROSS JOIN indices CROSS JOIN zones CROSS JOIN generate_series(1, 12) AS g(m)) f
+        FROM (SELECT aoi, index_name, CAST(m AS INT) AS month, ecozone FROM (SELECT DISTINCT aoi, index_name FROM scene_p) CROSS JOIN zones CROSS JOIN generate_series(1, 12) AS g(m)) f
         LEFT JOIN scene_p s USING (aoi, index_name, month, ecozone) GROUP BY ALL""",
     ),
     "sides_p": (

@@ -16,8 +16,8 @@ w AS (SELECT CASE WHEN i = 0 THEN a ELSE CAST(date_trunc('month', a) + to_months
 win AS (SELECT ws, we FROM w WHERE ws < we)
 """
 
-_SCENE_GROUP = """SELECT {0}, count(*) AS n_scenes, min(day) AS first_day, max(day) AS last_day
-FROM (SELECT *, CAST(year(obs_ts) AS INT) AS year, CAST(month(obs_ts) AS INT) AS month FROM scenes_s2) GROUP BY {0}"""
+_SCENE_GROUP = """SELECT {0}, CAST(row_number() OVER (PARTITION BY {0} ORDER BY day, item) AS INT) AS rank, item, day, tile
+FROM (SELECT *, CAST(year(obs_ts) AS INT) AS year, CAST(month(obs_ts) AS INT) AS month FROM scenes_s2)"""
 
 SQL = {
     "scan_cells": v(
@@ -26,7 +26,7 @@ SQL = {
     ),
     "scan_manifest": v(
         """SELECT concat(m.index_name, '_', m.item) AS scene_id, m.filename, strftime(m.obs_ts, '%Y-%m-%d') AS date, m.cloud_cover
-        FROM manifest m WHERE m.filename IN (SELECT filename FROM outputs)""",
+        FROM manifest m JOIN (SELECT DISTINCT filename FROM outputs) o ON o.filename = m.filename""",
         "manifest",
         "outputs",
     ),
@@ -54,8 +54,7 @@ SQL = {
     ),
     "sink_cells": v(
         """SELECT a.aoi, a.index_name, a.year, "row", "col", round(value, 6) AS value, scene_count
-        FROM annual a JOIN (SELECT aoi, year, count(DISTINCT scene_id) AS scene_count FROM obs GROUP BY ALL) s USING (aoi, year)
-        WHERE aoi = 'south' AND index_name = 'NDMI'""",
+        FROM annual a JOIN (SELECT aoi, year, count(DISTINCT scene_id) AS scene_count FROM obs GROUP BY ALL) s USING (aoi, year)""",
         "annual",
     ),
     "sink_manifest": v(_MANIFEST.format(""), "manifest"),
@@ -119,7 +118,8 @@ SQL = {
         "outputs",
     ),
     "cache_audit": v(
-        """SELECT index_name, day, tile AS tile_id, cloud_cover, CASE WHEN filename IN (SELECT filename FROM outputs) THEN 'present' ELSE 'missing' END AS status FROM scene_index""",
+        """SELECT s.index_name, s.day, s.tile AS tile_id, s.cloud_cover, CASE WHEN o.have IS NOT NULL THEN 'present' ELSE 'missing' END AS status
+        FROM scene_index s LEFT JOIN (SELECT DISTINCT filename, 1 AS have FROM outputs) o ON o.filename = s.filename""",
         "scene_index",
         "outputs",
     ),
@@ -135,7 +135,7 @@ SQL = {
     "manifest_rebuild": v(
         """SELECT s.aoi, i.index_name, s.scene_id, c.valid_px, round(c.valid_px / CAST(g.n_cells AS DOUBLE), 6) AS veg_coverage, c.valid_px IS NULL AS missing
         FROM scenes s CROSS JOIN indices i JOIN grid_cells g USING (aoi)
-        LEFT JOIN (SELECT aoi, index_name, scene_id, count(*) AS valid_px FROM cells WHERE month <> year % 12 + 1 GROUP BY ALL) c ON c.aoi = s.aoi AND c.scene_id = s.scene_id AND c.index_name = i.index_name""",
+        LEFT JOIN (SELECT aoi, index_name, scene_id, count(*) AS valid_px FROM cells GROUP BY ALL) c ON c.aoi = s.aoi AND c.scene_id = s.scene_id AND c.index_name = i.index_name""",
         "scenes",
         "indices",
         "grid_cells",

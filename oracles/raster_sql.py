@@ -32,12 +32,13 @@ def _ratio(a: str, b: str) -> str:
 _INDEX = {"NDVI": _ratio("n", "r"), "NDMI": _ratio("n", "s"), "EVI": evi("n", "r", "b")}
 
 _FRACTIONS = f"""WITH f AS (
-SELECT 'sentinel-2' AS sensor, aoi, scene_id, in_aoi, scl = 11 AS snow, {_VALID} AS clear FROM flagged_obs
+SELECT 'sentinel-2' AS sensor, aoi, scene_id, "row", "col", in_aoi, scl = 11 AS snow, {_VALID} AS clear FROM flagged_obs
 UNION ALL
-SELECT 'landsat', aoi, scene_id, in_aoi, (qa & 32) <> 0, {CLEAR_LANDSAT} AND {_REFL_OK} FROM scaled_landsat JOIN flagged USING (aoi, "row", "col"))
-SELECT sensor, aoi, scene_id, count(*) FILTER (in_aoi) AS area_px, count(*) FILTER (in_aoi AND {{0}}) AS {{0}}_px,
-    round(CASE WHEN count(*) FILTER (in_aoi) > 0 THEN count(*) FILTER (in_aoi AND {{0}}) / CAST(count(*) FILTER (in_aoi) AS DOUBLE) END, 4) AS {{0}}_frac
-FROM f GROUP BY 1, 2, 3"""
+SELECT 'landsat', aoi, scene_id, "row", "col", in_aoi, (qa & 32) <> 0, {CLEAR_LANDSAT} AND {_REFL_OK} FROM scaled_landsat JOIN flagged USING (aoi, "row", "col")),
+a AS (SELECT aoi, count(*) AS px FROM flagged WHERE in_aoi GROUP BY 1)
+SELECT sensor, f.aoi, scene_id, max(px) AS area_px, count(DISTINCT CASE WHEN in_aoi AND {{0}} THEN "row" * 1000 + "col" END) AS {{0}}_px,
+    round(count(DISTINCT CASE WHEN in_aoi AND {{0}} THEN "row" * 1000 + "col" END) / CAST(max(px) AS DOUBLE), 4) AS {{0}}_frac
+FROM f JOIN a USING (aoi) GROUP BY 1, 2, 3"""
 
 _GRADIENT = """WITH g AS (SELECT "row", "col",
     CASE WHEN lag(elevation) OVER h IS NULL THEN (lead(elevation) OVER h - elevation) / {0}
@@ -210,7 +211,7 @@ SQL = {
     "annual_max": v('SELECT aoi, index_name, year, "row", "col", round(value, 6) AS value FROM annual', "annual"),
     "monthly_max": v('SELECT aoi, index_name, year, month, "row", "col", round(value, 6) AS value FROM monthly', "monthly"),
     "composite_drop_empty": v(
-        """SELECT aoi, index_name, year, month, count(*) AS valid_px FROM monthly WHERE month <> year % 12 + 1 GROUP BY ALL""", "monthly"
+        """SELECT aoi, index_name, year, month, count(*) AS valid_px FROM monthly GROUP BY ALL""", "monthly"
     ),
     "composite_metadata": v(
         """SELECT a.aoi, a.index_name, a.year, valid_px, scene_count, platforms, round(valid_px * 100.0::DOUBLE / n_cells, 6) AS valid_pct

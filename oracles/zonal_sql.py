@@ -12,8 +12,9 @@ def _r(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
-_PEAK = """SELECT s.aoi, s.index_name, s.ecozone, count(*) AS n_scenes, avg(p95) AS p95, avg(p99) AS p99, avg(p100) AS p100, pixel_count
-FROM scene_p s JOIN (SELECT ecozone, count(*) AS pixel_count FROM traits GROUP BY 1) USING (ecozone) GROUP BY ALL"""
+_PEAK = """SELECT aoi, index_name, ecozone, count(p95) AS n_scenes, avg(p95) AS p95, avg(p99) AS p99, avg(p100) AS p100, pixel_count
+FROM (SELECT * FROM (SELECT DISTINCT aoi, index_name FROM scene_p) CROSS JOIN zones) f
+JOIN (SELECT ecozone, count(*) AS pixel_count FROM traits GROUP BY 1) USING (ecozone) LEFT JOIN scene_p s USING (aoi, index_name, ecozone) GROUP BY ALL"""
 
 
 def _wide(source: str, keys: str, columns) -> str:
@@ -69,17 +70,19 @@ SQL = {
         "cells",
     ),
     "peak_productivity": v(
-        f"SELECT aoi, index_name, ecozone, n_scenes, pixel_count, {_r('p95', 'p99', 'p100')} FROM ({_PEAK})", "scene_p", "traits"
+        f"SELECT aoi, index_name, ecozone, n_scenes, pixel_count, {_r('p95', 'p99', 'p100')} FROM ({_PEAK})", "scene_p", "traits", "zones"
     ),
     "peak_productivity_landsat": v(
-        f"""SELECT aoi, index_name, ecozone, count(*) AS n_scenes, pixel_count, round(avg(a), 6) AS p95, round(avg(b), 6) AS p99, round(avg(c), 6) AS p100
-        FROM (SELECT {_SCENE}, ecozone, quantile_cont(value, 0.95) AS a, quantile_cont(value, 0.99) AS b, max(value) AS c
-              FROM cells_landsat JOIN traits USING ("row", "col") GROUP BY {_SCENE}, ecozone HAVING count(*) >= 5)
-        JOIN (SELECT ecozone, count(*) AS pixel_count FROM traits WHERE ecozone IN (1, 2, 3) GROUP BY 1) USING (ecozone) GROUP BY ALL""",
+        f"""WITH p AS (SELECT {_SCENE}, ecozone, quantile_cont(value, 0.95) AS a, quantile_cont(value, 0.99) AS b, max(value) AS c
+              FROM cells_landsat JOIN traits USING ("row", "col") WHERE ecozone IN (1, 2, 3) GROUP BY {_SCENE}, ecozone HAVING count(*) >= 5)
+        SELECT aoi, index_name, ecozone, count(a) AS n_scenes, pixel_count, round(avg(a), 6) AS p95, round(avg(b), 6) AS p99, round(avg(c), 6) AS p100
+        FROM (SELECT * FROM (SELECT DISTINCT aoi, index_name FROM p) CROSS JOIN zones) f
+        JOIN (SELECT ecozone, count(*) AS pixel_count FROM traits GROUP BY 1) USING (ecozone) LEFT JOIN p USING (aoi, index_name, ecozone) GROUP BY ALL""",
         "cells_landsat",
         "traits",
+        "zones",
     ),
-    "peak_summary_wide": v(_wide(_PEAK, "aoi, ecozone, pixel_count", ("p95", "p99", "p100")), "scene_p", "traits"),
+    "peak_summary_wide": v(_wide(_PEAK, "aoi, ecozone, pixel_count", ("p95", "p99", "p100")), "scene_p", "traits", "zones"),
     "ecological_space": v(
         _pairs("SELECT aoi, index_name, ecozone, avg(p95) AS p95 FROM scene_p GROUP BY ALL", "aoi, ecozone"), "scene_p"
     ),
@@ -119,11 +122,13 @@ SQL = {
     "season_partition": v(f"SELECT aoi, {_SEASON} AS season, count(*) AS n_scenes FROM scenes GROUP BY 1, 2", "scenes"),
     "moisture_amplitude": v(
         f"""SELECT aoi, ecozone, {_r('growing_p95', 'dormant_p95')}, round(growing_p95 - dormant_p95, 6) AS amplitude, growing_scenes, dormant_scenes
-        FROM (SELECT aoi, ecozone, avg(p95) FILTER ({_SEASON} = 'growing') AS growing_p95, avg(p95) FILTER ({_SEASON} = 'dormant') AS dormant_p95
-              FROM scene_p WHERE index_name = 'NDMI' GROUP BY 1, 2)
+        FROM (SELECT f.aoi, f.ecozone, avg(p95) FILTER ({_SEASON} = 'growing') AS growing_p95, avg(p95) FILTER ({_SEASON} = 'dormant') AS dormant_p95
+              FROM (SELECT * FROM (SELECT DISTINCT aoi FROM scene_p WHERE index_name = 'NDMI') CROSS JOIN zones) f
+              LEFT JOIN (SELECT * FROM scene_p WHERE index_name = 'NDMI') s ON s.aoi = f.aoi AND s.ecozone = f.ecozone GROUP BY 1, 2)
         JOIN (SELECT aoi, count(*) FILTER ({_SEASON} = 'growing') AS growing_scenes, count(*) FILTER ({_SEASON} = 'dormant') AS dormant_scenes FROM scenes GROUP BY 1) USING (aoi)""",
         "scene_p",
         "scenes",
+        "zones",
     ),
     "zonal_median_monthly": v("SELECT aoi, index_name, year, month, ecozone, n, round(p50, 6) AS p50 FROM medians", "medians"),
     "season_mean": v(
@@ -155,8 +160,9 @@ SQL = {
     "elevation_gradient": v(
         """WITH bands AS (SELECT CAST(floor(elevation / 200) * 200 AS INT) AS lo, count(*) AS n_px FROM traits WHERE elevation < (SELECT ceil(max(elevation) / 200) * 200 FROM traits) GROUP BY 1 HAVING count(*) >= 50),
         p AS (SELECT aoi, index_name, scene_id, lo, quantile_cont(value, 0.95) AS p95 FROM cells JOIN traits USING ("row", "col") JOIN bands ON lo = floor(elevation / 200) * 200 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5)
-        SELECT aoi, lo, CAST(lo + 200 AS INT) AS hi, CAST(lo + 100 AS DOUBLE) AS mid, n_px, round(avg(p95) FILTER (index_name = 'NDVI'), 6) AS "NDVI_p95",
-            round(avg(p95) FILTER (index_name = 'NDMI'), 6) AS "NDMI_p95", round(avg(p95) FILTER (index_name = 'EVI'), 6) AS "EVI_p95" FROM p JOIN bands USING (lo) GROUP BY aoi, lo, n_px""",
+        SELECT a.aoi, b.lo, CAST(b.lo + 200 AS INT) AS hi, CAST(b.lo + 100 AS DOUBLE) AS mid, n_px, round(avg(p95) FILTER (index_name = 'NDVI'), 6) AS "NDVI_p95",
+            round(avg(p95) FILTER (index_name = 'NDMI'), 6) AS "NDMI_p95", round(avg(p95) FILTER (index_name = 'EVI'), 6) AS "EVI_p95"
+        FROM (SELECT DISTINCT aoi FROM p) a CROSS JOIN bands b LEFT JOIN p ON p.aoi = a.aoi AND p.lo = b.lo GROUP BY a.aoi, b.lo, n_px""",
         "cells",
         "traits",
     ),

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopygrid.functions import bands as B
+from canopygrid.functions import terrain
 from canopygrid.model import LANDSAT, SENTINEL2
 from canopygrid.operators import pixels
 
@@ -97,8 +98,28 @@ def test_scene_fractions(spark):
     rows = [(i, 1.0, 1.0, 2.0, 1.0, scl, 0, inside) for i, (scl, inside) in enumerate(
         [(11, True), (4, True), (4, True), (11, False), (8, True), (4, False)]
     )]
-    df = spark.createDataFrame(rows, SCHEMA + ", in_aoi boolean").withColumn("scene_id", F.lit(1))
-    out = pixels.scene_fractions(df, SENTINEL2, ["scene_id"]).first()
-    assert (out.area_px, out.snow_frac, out.clear_frac) == (4, 0.25, 0.5)
+    df = spark.createDataFrame(rows, SCHEMA + ", in_aoi boolean").withColumns({"scene_id": F.lit(1), "aoi": F.lit("a")})
+    # The scene sees half of the area's 8 cells, and one of them twice.
+    cell = ["row", "col"]
+    seen = df.withColumns({"row": F.monotonically_increasing_id(), "col": F.lit(0)})
+    seen = seen.union(seen.filter("scl = 11 AND in_aoi"))
+    areas = spark.createDataFrame([("a", 8), ("b", 5)], "aoi string, area_px long")
+    out = pixels.scene_fractions(seen, areas, SENTINEL2, cell=cell).first()
+    assert (out.area_px, out.snow_px, out.snow_frac, out.clear_frac) == (8, 1, 0.125, 0.25)
     filled = pixels.class_fill_outside(df, SENTINEL2)
     assert [r[0] for r in column(filled, "scl")] == [11, 4, 4, 0, 8, 0]
+
+
+@pytest.mark.parametrize("missing", ["nir", "red", "blue"])
+def test_index_of_a_missing_band_is_missing(spark, missing):
+    bands = {b: F.lit(None if b == missing else 0.3).cast("double") for b in ("nir", "red", "blue")}
+    assert spark.range(1).select(B.evi(**bands)).first()[0] is None
+
+
+def test_no_class_without_a_finite_property(spark):
+    nan = F.lit(float("nan"))
+    row = spark.range(1).select(
+        terrain.aspect_side(nan), terrain.aspect_side(F.lit(10.0), nan, 5.0), terrain.steep(nan),
+        terrain.elevation_class(nan), terrain.elevation_class(nan, positive_low=True), terrain.elevation_band(nan),
+    ).first()
+    assert tuple(row) == ("neither", "neither", False, None, None, None)

@@ -91,9 +91,19 @@ def test_heal_and_audit(spark):
     items = spark.createDataFrame([(i, "20200101", f"T{i}") for i in range(4)], "item int, day string, tile string")
     name = lambda i: f"NDVI_20200101_T{i}.tif"
     outputs = spark.createDataFrame([("NDVI", name(0)), ("NDVI", name(1))], "index_name string, filename string")
-    manifest = spark.createDataFrame([("NDVI", 0, 3.0), ("NDVI", 2, 4.0)], "index_name string, item int, cloud_cover double")
-    healed = {r["item"]: (r.status, r.cloud_cover) for r in catalog.manifest_heal(items, outputs, manifest, ["NDVI"]).collect()}
-    assert healed == {0: ("kept", 3.0), 1: ("healed", None), 2: ("redownload", 4.0), 3: ("new", None)}
+    manifest = spark.createDataFrame(
+        [("NDVI", name(0), 0, "20200101", 3.0), ("NDVI", name(2), 2, "20200101", 4.0), ("NDVI", "NDVI_20191231_X.tif", 99, "20191231", 5.0)],
+        "index_name string, filename string, item int, day string, cloud_cover double",
+    )
+    stray = outputs.union(spark.createDataFrame([("EVI", "EVI_20181130_T9.tif")], "index_name string, filename string"))
+    rows = catalog.manifest_heal(items, stray, manifest, ["NDVI"]).collect()
+    healed = {r["item"]: (r.status, r.cloud_cover) for r in rows}
+    assert healed == {
+        0: ("kept", 3.0), 1: ("healed", None), 2: ("redownload", 4.0), 3: ("new", None),
+        # Entries and files outside the search stay.
+        99: ("redownload", 5.0), None: ("healed", None),
+    }
+    assert [(r.filename, r.day) for r in rows if r["item"] is None] == [("EVI_20181130_T9.tif", "20181130")]
     counts = {r.index_name: (r.cached, r.needed) for r in catalog.cache_inventory(items, outputs, ["NDVI", "EVI"]).collect()}
     assert counts == {"NDVI": (2, 2), "EVI": (0, 4)}
 

@@ -5,11 +5,15 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
+from canopygrid.functions.quantiles import grouped_percentiles
 from canopygrid.operators import catalog, composites, grid
 from canopygrid.plans import catalog_plans, fixtures as fx, raster_plans, zonal_plans
 
 WRITES = ("sink_cells", "sink_manifest", "sink_inventory", "sink_table")
-LAZY = sorted(set(entry.queries()) - set(WRITES))
+CORE = {**catalog_plans.QUERIES, **raster_plans.QUERIES, **zonal_plans.QUERIES}
+LAZY = sorted(set(CORE) - set(WRITES))
 
 
 def plan(df):
@@ -18,7 +22,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_product_and_no_python(spark, sf, name):
-    text = plan(entry.queries()[name](spark, sf))
+    text = plan(CORE[name](spark, sf))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "InPandas"):
         assert bad not in text, bad
 
@@ -57,11 +61,51 @@ def executed(df):
     return text[: text.find("== Initial Plan ==")]
 
 
-def test_percentiles_scan_the_facts_once(spark, sf):
-    text = executed(zonal_plans.scene_p(spark, sf, min_pixels=3))
-    assert text.count("FileScan parquet [l_") == 1
-    assert "ReusedExchange" in text
-    assert "ShuffledHashJoin" in text
+def shuffled(spark, make):
+    """Records that all stages of ``make`` and its result write to shuffles."""
+    store = spark._jsparkSession.sparkContext().statusStore()
+
+    def stages():
+        none = spark._jvm.java.util.ArrayList()
+        found = store.stageList(none, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    make().write.format("noop").mode("overwrite").save()
+    return sum(n for key, n in stages().items() if key not in before)
+
+
+def test_percentiles_shuffle_few_rows(spark):
+    """Counts per bin and the rows of the wanted bins move, not the rows."""
+    rows = spark.range(400_000).select(
+        (F.col("id") % 4).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(2_000_003)) / 1_000_001.0 - 1).alias("value")
+    )
+    few, many = (
+        shuffled(spark, lambda m=m: grouped_percentiles(rows, ["g"], percentiles=(50, 95), bins=256, most_targets=m))
+        for m in (100, 0)
+    )
+    assert many > 5 * few
+
+
+def test_percentiles_fall_back_to_one_scan(spark, sf):
+    zoned = fx.zoned_cells(spark, sf)
+    text = executed(grouped_percentiles(zoned, ["aoi", "scene_id", "ecozone"], most_targets=0))
+    assert text.count("FileScan parquet [l_") == 1 and "ReusedExchange" in text and "ShuffledHashJoin" in text
+
+
+def test_strata_join_before_rows_triple(spark, sf):
+    text = plan(fx.zoned_cells(spark, sf))
+    assert text.index("Generate inline") < text.index("Join") and text.count("Generate inline") == 1
+
+
+def test_composites_move_a_row_a_cell(spark, sf):
+    text = plan(raster_plans.annual(spark, sf))
+    assert text.index("Generate inline") < text.index("Exchange hashpartitioning") and "partial_max" in text
+
+
+def test_masks_move_no_facts_by_cell(spark, sf):
+    for name in ("combined_mask", "class_fill_outside"):
+        assert not re.search(r"Exchange hashpartitioning\(aoi[^)]*col#", plan(CORE[name](spark, sf)))
 
 
 @pytest.mark.parametrize(

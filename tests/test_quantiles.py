@@ -16,15 +16,16 @@ def by_group(df):
 def check(spark, groups, **options):
     rows = [(g, None if v is None else float(v)) for g, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "g string, value double")
-    got = by_group(grouped_percentiles(df, ["g"], "value", PS, **options))
     want = {}
     for g, vs in groups.items():
         clean = [v for v in vs if v is not None and not np.isnan(v)]
         if clean:
             want[g] = [len(clean), *np.percentile(clean, PS)]
-    assert set(got) == set(want)
-    for g in want:
-        np.testing.assert_allclose(got[g], want[g], rtol=1e-12, atol=1e-12)
+    for most in (10_000, 0):  # bins of interest broadcast, and not
+        got = by_group(grouped_percentiles(df, ["g"], "value", PS, most_targets=most, **options))
+        assert set(got) == set(want)
+        for g in want:
+            np.testing.assert_allclose(got[g], want[g], rtol=1e-12, atol=1e-12)
 
 
 @pytest.mark.parametrize("method", ["binned", "hash"])

@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -93,21 +94,58 @@ def test_store_prunes_and_replaces_only_what_it_writes(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2 + 4 + 1
 
 
+def test_scenes_of_a_year_are_added_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    schema = CELLS.replace("year int", "year int, scene_id int")
+
+    def rows(scene, values):
+        return spark.createDataFrame([("s", "north", "NDVI", 2020, scene, r, 0, v) for r, v in values], schema)
+
+    writers.write_cells(rows(1, [(0, 0.1), (1, 0.2)]), path)
+    writers.write_cells(rows(2, [(0, 0.3)]), path)
+    writers.write_cells(rows(1, [(5, 0.4)]), path)
+    writers.merge_cells(rows(2, [(0, 0.5), (7, 0.6)]), path)
+    writers.merge_cells(rows(3, [(1, 0.7)]), path)
+    writers.merge_cells(rows(3, [(1, 0.7)]), path)
+    got = sorted((r.scene_id, r.row, r.value) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 5, 0.4), (2, 0, 0.5), (2, 7, 0.6), (3, 1, 0.7)]
+
+
+def test_manifest_entries_are_added_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    fields = "scene_id string, filename string, clear_frac double, processed string"
+    for rows in ([("a", "1.tif", 0.5, "x"), ("b", "2.tif", None, "x")], [("b", "3.tif", 0.1, "y")], [("c", "4.tif", None, None)]):
+        writers.update_manifest(spark.createDataFrame(rows, fields), path)
+    got = sorted((r.scene_id, r.filename, r.clear_frac, r.processed) for r in readers.read_manifest(spark, path, lines=True).collect())
+    assert got == [("a", "1.tif", 0.5, "x"), ("b", "3.tif", 0.1, "y"), ("c", "4.tif", None, None)]
+
+
+def test_traits_without_nan(spark, tmp_path):
+    nan = float("nan")
+    rows = [(0, 1, nan, nan, 5), (1, 1, 1.5, 3.0, 6)]
+    spark.createDataFrame(rows, "row int, col int, aspect double, slope double, ecozone int").write.parquet(str(tmp_path / "t"))
+    assert sorted(map(tuple, readers.read_traits(spark, str(tmp_path / "t")).collect())) == [(0, 1, None, None, 5), (1, 1, 1.5, 3.0, 6)]
+
+
 def test_result_table(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.12345678, "x")], "a int, b double, c string")
     writers.write_table(df, str(tmp_path / "t"), ["c", "b"], form="csv")
-    assert (next((tmp_path / "t").glob("*.csv"))).read_text() == "c,b\nx,0.123457\n"
+    # A part without rows has a header too.
+    assert "c,b\nx,0.123457\n" in {f.read_text() for f in (tmp_path / "t").glob("*.csv")}
     with pytest.raises(ValueError):
         writers.write_table(df, str(tmp_path / "u"), ["c"], form="xlsx")
 
 
 def test_shared_folder_follows_the_session(spark):
     class Session:
-        def __init__(self, conf):
+        def __init__(self, conf, master="local[2]"):
             self.conf = conf
+            self.sparkContext = SimpleNamespace(master=master)
 
     assert shared_folder(Session({"spark.checkpoint.dir": "/shared/place/"}), "x").startswith("/shared/place/x-")
     assert shared_folder(Session({}), "x") != shared_folder(Session({}), "x")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session({}, "spark://host:7077"), "x")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         assert shared_folder(spark, "x").startswith(configured)
