@@ -87,21 +87,6 @@ class Grid:
     dy: float
 
 
-CELLS = T.StructType(
-    [
-        T.StructField("sensor", T.StringType()),
-        T.StructField("aoi", T.StringType()),
-        T.StructField("index_name", T.StringType()),
-        T.StructField("scene_id", T.StringType()),
-        T.StructField("obs_ts", T.TimestampNTZType()),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("month", T.IntegerType()),
-        T.StructField("row", T.IntegerType()),
-        T.StructField("col", T.IntegerType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-
 # One scene of a manifest. Which keys are present differs by sensor and by
 # how the entry came about; absent keys read as null.
 MANIFEST_ENTRY = T.StructType(

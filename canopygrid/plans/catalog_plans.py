@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopygrid.functions import labels, naming
-from canopygrid.model import INDICES
+from canopygrid.model import INDICES, MANIFEST_ENTRY
 from canopygrid.operators import catalog, composites, grid, strata
 from canopygrid.plans import fixtures as fx
 from canopygrid.session import shared_folder
@@ -130,12 +130,24 @@ def sink_cells(spark, sf):
 
 
 def sink_manifest(spark, sf):
+    """Entries of all scenes, then a third of them once more; read back with every field."""
     path = shared_folder(spark, "manifest")
+    item = F.col("item")
+    day = [F.substring("day", a, n) for a, n in ((1, 4), (5, 2), (7, 2))]
     entries = fx.manifest(spark, sf).select(
-        F.concat_ws("_", "index_name", F.col("item").cast("string")).alias("scene_id"), "filename", "cloud_cover"
+        "item",
+        F.concat_ws("_", "index_name", item.cast("string")).alias("scene_id"),
+        "filename",
+        F.concat_ws("-", *day).alias("date"),
+        "cloud_cover",
+        (item % 100 / 100).alias("clear_frac"),
+        (item % 7 / 10).alias("snow_frac"),
+        F.lit("first").alias("processed"),
     )
-    writers.write_manifest(entries, path)
-    return readers.read_manifest(spark, path, lines=True).select("scene_id", "filename", "cloud_cover")
+    writers.update_manifest(entries, path)
+    again = entries.filter(item % 3 == 0).withColumns({"cloud_cover": F.lit(None).cast("double"), "processed": F.lit("again")})
+    writers.update_manifest(again, path)
+    return readers.read_manifest(spark, path, lines=True).select("scene_id", *[f.name for f in MANIFEST_ENTRY])
 
 
 def sink_inventory(spark, sf):

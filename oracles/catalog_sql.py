@@ -7,7 +7,10 @@ from oracles.base import with_views as v
 _DAY = "strftime({0}, '%Y-%m-%d')".format
 _INVENTORY = f"""SELECT k.code, coalesce(l.label, concat('Code ', k.code)) AS label, px AS pixels, round(px * 0.0001::DOUBLE, 6) AS km2
 FROM known_groups k LEFT JOIN group_labels l USING (code)"""
-_MANIFEST = """SELECT concat(index_name, '_', item) AS scene_id, filename, {0} cloud_cover FROM manifest"""
+_MANIFEST = """SELECT concat(index_name, '_', item) AS scene_id, filename, concat(substring(day, 1, 4), '-', substring(day, 5, 2), '-', substring(day, 7, 2)) AS date,
+    CASE WHEN item % 3 <> 0 THEN cloud_cover END AS cloud_cover, (item % 100) / 100.0::DOUBLE AS clear_frac, CAST(NULL AS DOUBLE) AS valid_frac,
+    (item % 7) / 10.0::DOUBLE AS snow_frac, CAST(NULL AS DOUBLE) AS veg_coverage, CAST(NULL AS VARCHAR) AS platform, CAST(NULL AS VARCHAR) AS path_row,
+    CASE WHEN item % 3 = 0 THEN 'again' ELSE 'first' END AS processed, CAST(NULL AS VARCHAR) AS rebuilt FROM manifest"""
 
 _WINDOWS = """WITH b AS (SELECT CAST(min(obs_ts) AS DATE) + 13 AS a, CAST(max(obs_ts) AS DATE) AS e FROM stac),
 w AS (SELECT CASE WHEN i = 0 THEN a ELSE CAST(date_trunc('month', a) + to_months(CAST(6 * i AS INT)) AS DATE) END AS ws,
@@ -57,7 +60,7 @@ SQL = {
         FROM annual a JOIN (SELECT aoi, year, count(DISTINCT scene_id) AS scene_count FROM obs GROUP BY ALL) s USING (aoi, year)""",
         "annual",
     ),
-    "sink_manifest": v(_MANIFEST.format(""), "manifest"),
+    "sink_manifest": v(_MANIFEST, "manifest"),
     "sink_inventory": v(_INVENTORY, "known_groups", "group_labels"),
     "sink_table": v(
         """SELECT aoi, index_name, year, count(*) AS n_px, round(avg(d), 6) AS mean_anomaly, round(min(d), 6) AS min_anomaly, round(max(d), 6) AS max_anomaly
