@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from canopygrid.llm.tables import carried, stored, utf8
 
-BUCKETS = 2048
+BUCKETS = 1024
 # Labelled documents the classifier is fitted on, at most: those with the smallest hashed ids.
-SAMPLE = 6000
+SAMPLE = 5000
 EPOCHS = 150
 STEPS = 40
 # Relative miss at which the steps stop.
 CLOSE = 1e-4
+# Share of the largest budget taken by default: rates then keep clear of their bound, and few steps are needed.
+ROOM = 0.98
 STRETCH = 1 << 20
 # Shares asked of the query and the pipeline.
 TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
@@ -43,7 +45,7 @@ def features(text: bytes) -> tuple[np.ndarray, int]:
         data = np.frombuffer(text, np.uint8, min(STRETCH, len(text) - a), a)
         before = np.concatenate([np.array([last], np.uint8), data[:-1]])
         pair = (before.astype(np.uint32) << np.uint32(8) | data) * np.uint32(2654435761)
-        counts += np.bincount(pair >> np.uint32(21), minlength=BUCKETS)
+        counts += np.bincount(pair >> np.uint32(22), minlength=BUCKETS)
         space, was = data <= 32, before <= 32
         words += int(np.count_nonzero(~space & was))
         last = data[-1]
@@ -66,17 +68,12 @@ class DomainModel:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def fit_domains(labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> DomainModel:
-    """Learn from doc_id, text and domain of at most ``sample`` rows; other domains and nulls teach nothing.
+def fit_domains(labelled: DataFrame, domains: list[str]) -> DomainModel:
+    """Learn from text and domain of a bounded sample; other domains and nulls teach nothing.
 
     Without any such row all domains are equally likely everywhere.
     """
-    rows = (
-        labelled.filter(F.col("domain").isin(domains))
-        .select("doc_id", utf8().alias("text"), "domain")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-        .limit(sample)
-    )
+    rows = labelled.filter(F.col("domain").isin(domains)).select(utf8().alias("text"), "domain")
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,8 +87,9 @@ def fit_domains(labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -
         return model
     found.sort(key=lambda r: (r.domain, r.x))
     order = np.random.default_rng(5).permutation(len(found))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in found])[order].astype(np.float64)
-    y = np.array([[r.domain == d for d in domains] for r in found])[order].astype(np.float64)
+    x = np.array([np.frombuffer(found[i].x, np.float32) for i in order])
+    y = np.array([[found[i].domain == d for d in domains] for i in order], np.float32)
+    del found
     cut = max(1, len(x) * 4 // 5)
     speed_w, speed_b = np.zeros_like(weights), np.zeros_like(bias)
     for _ in range(EPOCHS):  # profiles have unit length: steps of this size with momentum settle
@@ -159,8 +157,8 @@ def _totals(members: DataFrame, rate: Column, n: int) -> np.ndarray:
 def solve(members: DataFrame, targets: dict[str, float], budget: float | None = None, most: float = 1.0) -> Mix:
     """Rates for ``members`` (tokens, p over the targets' domains in their order).
 
-    The default budget is the largest that the scarcest domain allows without
-    any rate above ``most``. A target of 0 needs nothing; targets are scaled to
+    The default budget is nearly (``ROOM``) the largest that the scarcest domain
+    allows without any rate above ``most``. A target of 0 needs nothing; targets are scaled to
     sum to 1. What cannot be reached is missed by as little as can be. Without
     tokens all rates are ``most``.
     """
@@ -182,7 +180,7 @@ def solve(members: DataFrame, targets: dict[str, float], budget: float | None =
         return Mix(domains, np.zeros(n), most, most, [])
     asked = share > 0
     if budget is None:
-        budget = float((most * have[asked] / share[asked]).min()) or float(have.sum() * most)
+        budget = ROOM * (float((most * have[asked] / share[asked]).min()) or float(have.sum() * most))
     wanted = budget * share
     inverse = np.linalg.pinv(matrix, rcond=1e-9, hermitian=True)
     mix = Mix(domains, wanted, min(most, budget / have.sum()), most, [])
@@ -200,11 +198,17 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> DataFrame:
-    """The documents that the table of labels names, with their domain."""
-    named = labels.select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(named, docs["doc_id"] == named["_id"], "left_semi")
-    return rows.select("doc_id", "text", F.col(domain).alias("domain"))
+def sampled_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, domain: str = "lang") -> DataFrame:
+    """doc_id, text and domain of documents that the table of labels names: at most ``sample`` ids, by smallest hash.
+
+    Labels meet the documents' ids alone; the texts are picked by the list of
+    ids, which ``sample`` bounds, and are not shuffled.
+    """
+    known = docs.filter(F.col(domain).isNotNull()).select("doc_id")
+    ids = known.join(labels.select("doc_id"), "doc_id", "left_semi").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text", F.col(domain).alias("domain"))
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
@@ -214,7 +218,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     get that of their posterior. Rows that repeat a doc_id share their draw.
     """
     targets = targets or TARGETS
-    model = fit_domains(labelled(docs, labels), list(targets))
+    model = fit_domains(sampled_labels(docs, labels), list(targets))
     members = stored(memberships(docs, model), "mixing")
     mix = solve(members, targets, **options)
     rate = mix.rate(F.col("p"))
@@ -236,7 +240,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     No rate is above 1, so rows stay or go by their draw and none is repeated.
     """
     targets = targets or TARGETS
-    model = fit_domains(labelled(docs, labels), list(targets))
+    model = fit_domains(sampled_labels(docs, labels), list(targets))
     mix = solve(stored(memberships(docs, model), "mixing"), targets)
     rows = memberships(carried(docs, "doc_id", "text"), model, ("kept", "doc_id"))
     return rows.filter(copies(mix.rate(F.col("p")), F.col("doc_id")) > 0).select("kept.*")
