@@ -227,3 +227,26 @@ def test_mixing_awkward_rows(spark):
     assert mixing.rates(docs, labels).count() == 6
     assert mixing.mixed(docs, labels).columns == docs.columns
     assert mixing.mixed(docs.limit(0), labels).count() == 0
+
+
+def test_budget_keeps_what_fits(spark):
+    """A domain of all that is asked holds nothing back: no room is left unused."""
+    rows = spark.createDataFrame([(i, 100, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(40)], "doc_id long, tokens long, p array<double>")
+    mix = mixing.solve(rows, {"a": 0.5, "b": 0.5})
+    assert mix.wanted.sum() == pytest.approx(4000) and np.abs(mix.miss).max() < 1
+    assert rows.filter(mix.rate(F.col("p")) < 0.9999).count() == 0
+
+
+def test_scarce_domain_is_told_or_repeated(spark):
+    rows = spark.createDataFrame([(i, 100, [1.0, 0.0] if i else [0.0, 1.0]) for i in range(100)], "doc_id long, tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="'b' holds the mix at 0.0714"):
+        mixing.solve(rows, {"a": 0.86, "b": 0.14})
+    mix = mixing.solve(rows, {"a": 0.86, "b": 0.14}, most=float("inf"))
+    rate = {r.doc_id: r.rate for r in rows.withColumn("rate", mix.rate(F.col("p"))).collect()}
+    assert rate[0] == pytest.approx(14, rel=1e-3) and rate[1] == pytest.approx(8600 / 9900, rel=1e-3)
+
+
+def test_missed_targets_are_told(spark):
+    with pytest.warns(UserWarning, match="targets are missed by"):
+        mix = mixing.solve(members(spark, 4, 60, 1.0), {"a": 1.0, "b": 0.0, "c": 0.0}, budget=6000)
+    assert np.abs(mix.miss).max() > 1e-4 * 6000
