@@ -215,17 +215,22 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def sampled_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, domain: str = "lang") -> DataFrame:
-    """doc_id, text and domain of documents that the table of labels names: at most ``sample`` ids, by smallest hash.
+def sampled_labels(
+    docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE, domain: str = "lang"
+) -> DataFrame:
+    """doc_id, text and domain of documents that the table of labels names: ``sample`` rows at most, one an id.
 
+    The ids are those with the smallest hashes among documents of ``domains``;
+    of rows that repeat one, that with the smallest text hash stands for it.
     Labels meet the documents' ids alone; the texts are picked by the list of
-    ids, which ``sample`` bounds, and are not shuffled.
+    ids, and only picked ones are shuffled, one an id from each task.
     """
-    known = docs.filter(F.col(domain).isNotNull()).select("doc_id")
-    ids = known.join(labels.select("doc_id"), "doc_id", "left_semi").distinct()
+    rows = docs.select("doc_id", "text", F.col(domain).alias("domain")).filter(F.col("domain").isin(domains))
+    ids = rows.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_semi").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text", F.col(domain).alias("domain"))
-    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "domain", "text")).alias("least")
+    return picked.groupBy("doc_id").agg(least).select("doc_id", "least.text", "least.domain")
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
@@ -237,7 +242,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     get that of their posterior. Rows that repeat a doc_id share their draw.
     """
     targets = targets or TARGETS
-    model = fit_domains(sampled_labels(docs, labels), list(targets))
+    model = fit_domains(sampled_labels(docs, labels, list(targets)), list(targets))
     members = stored(memberships(docs, model), "mixing")
     mix = solve(members, targets, **{"most": float("inf")} | options)
     rate = mix.rate(F.col("p"))
@@ -260,7 +265,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     repeated, and a warning tells when a scarce domain makes others go for it.
     """
     targets = targets or TARGETS
-    model = fit_domains(sampled_labels(docs, labels), list(targets))
+    model = fit_domains(sampled_labels(docs, labels, list(targets)), list(targets))
     mix = solve(stored(memberships(docs, model), "mixing"), targets, **options)
     rows = memberships(carried(docs, "doc_id", "text"), model, ("kept", "doc_id"))
     rows = rows.select("kept", copies(mix.rate(F.col("p")), F.col("doc_id")).alias("copies")).filter("copies > 0")

@@ -250,3 +250,13 @@ def test_missed_targets_are_told(spark):
     with pytest.warns(UserWarning, match="targets are missed by"):
         mix = mixing.solve(members(spark, 4, 60, 1.0), {"a": 1.0, "b": 0.0, "c": 0.0}, budget=6000)
     assert np.abs(mix.miss).max() > 1e-4 * 6000
+
+
+def test_label_sample_bounds_rows(spark):
+    """Repeated ids take one row, and other languages no place."""
+    rows = [(1, f"text {i}", "en") for i in range(50)] + [(i, f"own {i}", "fr") for i in range(2, 6)]
+    rows += [(i, "autre", "xx") for i in range(100, 160)] + [(2, "z", "xx"), (3, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = docs.select("doc_id").distinct()
+    got = mixing.sampled_labels(docs, labels, ["en", "fr"], 5).collect()
+    assert sorted((r.doc_id, r.domain) for r in got) == [(1, "en"), (2, "fr"), (3, "fr"), (4, "fr"), (5, "fr")]
