@@ -394,9 +394,14 @@ def season_means(monthly: DataFrame, months: Sequence[int], name: str, *, year_s
 
 
 def zonal_median_monthly(
-    monthly_max: DataFrame, traits: DataFrame, *, min_pixels: int = 100, cell: Sequence[str] = CELL, method: str = "binned"
+    monthly_max: DataFrame,
+    traits: DataFrame,
+    *,
+    min_pixels: int = 100,
+    cell: Sequence[str] | None = None,
+    method: str = "binned",
 ) -> DataFrame:
-    """Median of each monthly composite per ecozone."""
+    """Median of each monthly composite per ecozone, of each area's own zones where traits have an aoi column."""
     return zonal_percentiles(
         in_ecozones(monthly_max, traits, cell),
         ["ecozone"],

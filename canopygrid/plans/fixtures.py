@@ -65,6 +65,13 @@ def traits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def area_traits(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones of each area on its own grid: the southern one is laid out from the other side."""
+    zones = traits(spark, sf).select("row", "col", "ecozone")
+    mirrored = zones.select("row", (WIDTH - 1 - F.col("col")).alias("col"), "ecozone")
+    return zones.withColumn("aoi", F.lit("north")).unionByName(mirrored.withColumn("aoi", F.lit("south")))
+
+
 # Header of the static grid: unit cells, row 0 at the top, as many rows as there are.
 GRID = Grid(x_min=0.0, y_max=0.0, width=WIDTH, height=None, dx=1.0, dy=1.0)
 

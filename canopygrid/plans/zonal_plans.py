@@ -114,7 +114,7 @@ def moisture_amplitude(spark, sf):
 
 
 def medians(spark, sf):
-    return zonal.zonal_median_monthly(monthly(spark, sf), fx.traits(spark, sf), min_pixels=MIN_PIXELS)
+    return zonal.zonal_median_monthly(monthly(spark, sf), fx.area_traits(spark, sf), min_pixels=MIN_PIXELS)
 
 
 def zonal_median_monthly(spark, sf):

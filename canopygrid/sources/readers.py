@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from canopygrid.functions.bands import nan_to_null
 from canopygrid.model import INVENTORY_ENTRY, MANIFEST_ENTRY, STAC_ITEM, YEAR_CLASS
+from canopygrid.sources import versions
 
 
 def layer_cells(store: DataFrame, sensor: str, aoi: str, index_name: str) -> DataFrame:
@@ -49,7 +50,9 @@ def parse_manifest(documents: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """One document per file, or with ``lines`` one per line as ``write_manifest`` leaves it."""
+    """One document per file, or with ``lines`` one per line as ``write_manifest`` leaves it, of the current version."""
+    if lines:
+        path = versions.current(spark, path) or path
     return parse_manifest(spark.read.text(path, wholetext=not lines))
 
 

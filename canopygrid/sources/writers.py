@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from canopygrid.model import MANIFEST_ENTRY, TILE
 from canopygrid.session import shared_folder
+from canopygrid.sources import versions
 
 STORE_PARTITIONS = ("sensor", "aoi", "index_name", "year")
 
 
 def store_partitions(cells: DataFrame) -> tuple[str, ...]:
-    """Composites lie by series and year, scene cells by scene within it."""
-    return (*STORE_PARTITIONS, "scene_id") if "scene_id" in cells.columns else STORE_PARTITIONS
+    """Composites lie by series and year, or month of it; scene cells by scene within the year."""
+    for unit in ("scene_id", "month"):
+        if unit in cells.columns:
+            return (*STORE_PARTITIONS, unit)
+    return STORE_PARTITIONS
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -32,8 +36,8 @@ def write_cells(cells: DataFrame, path: str, *, mode: str = "overwrite", tile: i
     """Cell store clustered by storage tile: composites by series and year, scene cells by scene too.
 
     Rows are rebalanced on (partition, tile): large partitions are split over
-    several tasks and small ones share one. The composites of a year, or the
-    scenes, that ``cells`` has are replaced; all others stay.
+    several tasks and small ones share one. The composites of a year or month,
+    or the scenes, that ``cells`` has are replaced; all others stay.
     """
     parts = store_partitions(cells)
     tiled = cells.withColumns(
@@ -72,10 +76,13 @@ def merge_cells(cells: DataFrame, path: str, *, tile: int = TILE) -> None:
 
 
 def write_catalog(layers: DataFrame, path: str) -> None:
-    """Tags of composite layers (scene count, platforms, valid share), a row per layer."""
-    layers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "aoi", "index_name"
-    ).parquet(path)
+    """Tags of composite layers (scene count, platforms, valid share), a row per layer.
+
+    The layers that ``layers`` has are replaced, by sensor, area, index, year
+    and month as far as it tells them apart; all others keep their tags.
+    """
+    parts = [c for c in (*STORE_PARTITIONS, "month") if c in layers.columns]
+    layers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def manifest_documents(scenes: DataFrame) -> DataFrame:
@@ -87,27 +94,27 @@ def manifest_documents(scenes: DataFrame) -> DataFrame:
 
 
 def write_manifest(scenes: DataFrame, path: str) -> None:
-    """Manifest as text, a document per line, so that no task holds all scenes; replaces the folder."""
-    manifest_documents(scenes).write.mode("overwrite").text(path)
+    """Manifest as text, a document per line, so that no task holds all scenes; a new version of the folder."""
+    documents = manifest_documents(scenes)
+    versions.publish(scenes.sparkSession, path, lambda made: documents.write.text(made))
 
 
 def update_manifest(scenes: DataFrame, path: str) -> None:
-    """Add or replace the entries of ``scenes``; entries of other scenes stay as they are."""
+    """Add or replace the entries of ``scenes``; entries of other scenes stay as they are.
+
+    The old version is read while the new one is written, and stays the
+    current one until that is whole.
+    """
     from canopygrid.sources.readers import read_manifest
 
-    spark = scenes.sparkSession
-    try:
-        old = read_manifest(spark, path, lines=True)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if versions.current(scenes.sparkSession, path) is None:
         write_manifest(scenes, path)
         return
     names = ["scene_id", *[f.name for f in MANIFEST_ENTRY]]
-    rest = old.select(*names).join(scenes.select("scene_id"), "scene_id", "left_anti")
-    merged = shared_folder(spark, "manifest-merged")
-    scenes.select(*[n for n in names if n in scenes.columns]).unionByName(rest, allowMissingColumns=True).write.parquet(merged)
-    write_manifest(spark.read.parquet(merged), path)
+    old = read_manifest(scenes.sparkSession, path, lines=True).select(*names)
+    rest = old.join(scenes.select("scene_id"), "scene_id", "left_anti")
+    new = scenes.select(*[n for n in names if n in scenes.columns])
+    write_manifest(new.unionByName(rest, allowMissingColumns=True), path)
 
 
 def inventory_documents(groups: DataFrame, code: str = "forest_group") -> DataFrame:

@@ -46,6 +46,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             p_brand AS layer
         FROM part""",
     ),
+    "area_traits": (
+        ("traits",),
+        """SELECT 'north' AS aoi, "row", "col", ecozone FROM traits
+        UNION ALL SELECT 'south', "row", CAST(49 - "col" AS INT), ecozone FROM traits""",
+    ),
     "sided": (
         ("traits",),
         """SELECT *, CASE WHEN aspect >= 135 AND aspect <= 225 THEN 'south'
@@ -191,9 +196,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT aoi, index_name, year, month, "row", "col", max(value) AS value FROM cells GROUP BY ALL""",
     ),
     "medians": (
-        ("monthly", "traits"),
+        ("monthly", "area_traits"),
         """SELECT aoi, index_name, year, month, ecozone, count(*) AS n, quantile_cont(value, 0.5) AS p50
-        FROM monthly JOIN traits USING ("row", "col") WHERE ecozone IN (1, 2, 3) GROUP BY ALL HAVING count(*) >= 30""",
+        FROM monthly JOIN area_traits USING (aoi, "row", "col") WHERE ecozone IN (1, 2, 3) GROUP BY ALL HAVING count(*) >= 30""",
     ),
     "amplitude": (
         ("medians", "layer_years", "zones"),

@@ -127,13 +127,15 @@ SQL = {
         "outputs",
     ),
     "manifest_heal": v(
-        """SELECT s.index_name, s.item, s.filename, s.day, m.cloud_cover,
-        CASE WHEN o.item IS NOT NULL AND m.item IS NOT NULL THEN 'kept' WHEN o.item IS NOT NULL THEN 'healed'
-             WHEN m.item IS NOT NULL THEN 'redownload' ELSE 'new' END AS status
-        FROM scene_index s LEFT JOIN outputs o USING (filename) LEFT JOIN manifest m ON m.index_name = s.index_name AND m.item = s.item""",
+        """WITH wanted AS MATERIALIZED (SELECT index_name, item, k, filename, day, cloud_cover FROM scene_index),
+        lists AS (
+            SELECT index_name, filename, item, day, NULL AS cloud_cover, 0 AS stored, 0 AS listed FROM wanted
+            UNION ALL SELECT index_name, filename, NULL, NULL, NULL, 1, 0 FROM wanted WHERE (item + k) % 3 <> 0
+            UNION ALL SELECT index_name, filename, item, day, cloud_cover, 0, 1 FROM wanted WHERE (item * 7 + k) % 5 <> 0)
+        SELECT index_name, max(item) AS item, filename, max(day) AS day, max(cloud_cover) AS cloud_cover,
+            CASE max(stored) * 2 + max(listed) WHEN 3 THEN 'kept' WHEN 2 THEN 'healed' WHEN 1 THEN 'redownload' ELSE 'new' END AS status
+        FROM lists GROUP BY index_name, filename""",
         "scene_index",
-        "outputs",
-        "manifest",
     ),
     "manifest_rebuild": v(
         """SELECT s.aoi, i.index_name, s.scene_id, c.valid_px, round(c.valid_px / CAST(g.n_cells AS DOUBLE), 6) AS veg_coverage, c.valid_px IS NULL AS missing

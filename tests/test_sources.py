@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from canopygrid.functions import labels
 from canopygrid.model import SENTINEL2
 from canopygrid.session import shared_folder
-from canopygrid.sources import readers, writers
+from canopygrid.sources import readers, versions, writers
 from canopygrid.streaming import ingest
 
 
@@ -172,3 +172,53 @@ def test_ingest_appends_each_file_once(spark, tmp_path):
     out = spark.read.parquet(store)
     counts = {(r.year, r.index_name): r.n for r in out.groupBy("year", "index_name").agg(F.count("*").alias("n")).collect()}
     assert counts == {(y, i): 2 for y in (2019, 2020) for i in ("NDVI", "NDMI", "EVI")}
+
+
+def test_tags_of_other_layers_stay(spark, tmp_path):
+    path = str(tmp_path / "tags")
+    fields = "aoi string, index_name string, year int, scene_count long, platforms string"
+    for rows in ([("n", "NDVI", 2019, 3, "a"), ("n", "EVI", 2019, 3, "a")], [("n", "NDVI", 2020, 4, "b")], [("n", "NDVI", 2019, 5, "a/b")]):
+        writers.write_catalog(spark.createDataFrame(rows, fields), path)
+    got = sorted((r.index_name, r.year, r.scene_count, r.platforms) for r in spark.read.parquet(path).collect())
+    assert got == [("EVI", 2019, 3, "a"), ("NDVI", 2019, 5, "a/b"), ("NDVI", 2020, 4, "b")]
+    monthly = str(tmp_path / "monthly")
+    for month in (1, 2):
+        writers.write_catalog(spark.createDataFrame([("n", "NDVI", 2019, month, month)], "aoi string, index_name string, year int, month int, scene_count long"), monthly)
+    assert sorted((r.month, r.scene_count) for r in spark.read.parquet(monthly).collect()) == [(1, 1), (2, 2)]
+
+
+def test_months_of_a_year_are_written_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    schema = CELLS.replace("year int", "year int, month int")
+    for month in (1, 2, 1):
+        writers.write_cells(spark.createDataFrame([("s", "north", "NDVI", 2020, month, 0, 0, month / 10)], schema), path)
+    assert sorted((r.month, r.value) for r in spark.read.parquet(path).collect()) == [(1, 0.1), (2, 0.2)]
+
+
+def test_a_broken_rewrite_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    fields = "scene_id string, filename string"
+    writers.write_manifest(spark.createDataFrame([("a", "1.tif")], fields), path)
+    broken = spark.createDataFrame([("b", "2.tif")], fields).withColumn(
+        "filename", F.when(F.col("scene_id") == "b", F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("filename"))
+    )
+    with pytest.raises(PySparkException, match="broken"):
+        writers.update_manifest(broken, path)
+    assert [r.scene_id for r in readers.read_manifest(spark, path, lines=True).collect()] == ["a"]
+    for n in range(4):
+        writers.update_manifest(spark.createDataFrame([(f"n{n}", "x.tif")], fields), path)
+    assert sorted(r.scene_id for r in readers.read_manifest(spark, path, lines=True).collect()) == ["a", "n0", "n1", "n2", "n3"]
+    assert len(versions.numbers(spark, path)) == 2 and len(list((tmp_path / "manifest").glob("_version-*"))) == 2
+
+
+def test_a_version_is_marked_once(spark, tmp_path):
+    path = str(tmp_path / "state")
+    versions.publish(spark, path, lambda p: spark.range(1).write.parquet(p))
+
+    def late(folder):
+        versions.publish(spark, path, lambda p: spark.range(2).write.parquet(p))
+        spark.range(3).write.mode("overwrite").parquet(folder)
+
+    with pytest.raises(Exception, match="already exists"):
+        versions.publish(spark, path, late)
+    assert versions.current(spark, str(tmp_path / "none")) is None

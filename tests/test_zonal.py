@@ -222,3 +222,13 @@ def test_zones_and_bands_without_scenes_are_listed(spark):
     assert sorted((r.ecozone, r.growing_p95, r.growing_scenes) for r in season) == [(1, 0.5, 1), (2, None, 1), (3, None, 1)]
     bands = zonal.elevation_gradient(cells, traits, min_band_px=1, min_pixels=1).collect()
     assert sorted((r.lo, r.NDMI_p95) for r in bands) == [(0, 0.5), (200, None), (400, None)]
+
+
+def test_monthly_medians_follow_each_areas_own_zones(spark):
+    """Two areas with the same cells and different zones: no value of one falls in a zone of the other."""
+    fields = "aoi string, index_name string, year int, month int, row int, col int, value double"
+    rows = [(a, "NDVI", 2000, 7, 0, c, v + c) for a, v in (("x", 0.1), ("y", 5.1)) for c in range(3)]
+    zones = [(a, 0, c, z) for a, z in (("x", 1), ("y", 2)) for c in range(3)]
+    traits = spark.createDataFrame(zones, "aoi string, row int, col int, ecozone int")
+    got = zonal.zonal_median_monthly(spark.createDataFrame(rows, fields), traits, min_pixels=1)
+    assert sorted((r.aoi, r.ecozone, r.n, r.p50) for r in got.collect()) == [("x", 1, 3, 1.1), ("y", 2, 3, 6.1)]
