@@ -11,6 +11,10 @@ from canopygrid.functions import bands as B
 from canopygrid.model import INDICES, Sensor
 
 
+# Cells of a tile counted in one bitmap, high and wide: the 32,768 bits that Spark's bitmaps have.
+BITMAP = (128, 256)
+
+
 def usable(
     sensor: Sensor, indices: Sequence[str] = INDICES, *, in_aoi: Column | None = None
 ) -> Column:
@@ -121,15 +125,22 @@ def scene_fractions(
     ``areas`` (aoi, area_px) has each area's number of cells, observed or not.
     A cell counts once however often a scene observes it. Snow is counted
     before masking. An area without cells gives null.
+
+    Cells are counted in bitmaps, one per scene and tile of ``BITMAP`` cells:
+    what tasks have seen of a tile is two bitmaps of 4 KB, which are united
+    after the shuffle; no row is shuffled for a cell.
     """
     inside = F.col(in_aoi)
-    seen = df.groupBy(*scene, *cell).agg(
-        F.coalesce(F.bool_or(inside & B.is_snow(sensor, F.col(sensor.quality))), F.lit(False)).alias("snow"),
-        F.coalesce(F.bool_or(usable(sensor, indices, in_aoi=inside)), F.lit(False)).alias("clear"),
-    )
+    snow = inside & B.is_snow(sensor, F.col(sensor.quality))
+    clear = usable(sensor, indices, in_aoi=inside)
+    (row, col), (height, width) = cell, BITMAP
+    place = (F.pmod(F.col(row), F.lit(height)) * width + F.pmod(F.col(col), F.lit(width))).cast("long")
+    tile = [F.floor(F.col(row) / height).alias("__tr"), F.floor(F.col(col) / width).alias("__tc")]
+    seen = lambda test: F.bitmap_construct_agg(F.when(test, place))
+    tiles = df.groupBy(*scene, *tile).agg(seen(snow).alias("snow"), seen(clear).alias("clear"))
     return (
-        seen.groupBy(*scene)
-        .agg(F.count_if("snow").alias("snow_px"), F.count_if("clear").alias("clear_px"))
+        tiles.groupBy(*scene)
+        .agg(F.sum(F.bitmap_count("snow")).alias("snow_px"), F.sum(F.bitmap_count("clear")).alias("clear_px"))
         .join(areas, "aoi", "left")
         .withColumn("area_px", F.coalesce("area_px", F.lit(0).cast("bigint")))
         .withColumn("snow_frac", F.round(F.try_divide("snow_px", "area_px"), 4))

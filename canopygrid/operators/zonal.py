@@ -85,29 +85,42 @@ def zonal_percentiles(
     )
 
 
-def in_strata(cells: DataFrame, tests: Mapping[str, Column], *, whole: str | None = "whole") -> DataFrame:
-    """Each cell once per stratum it belongs to, and once for the whole area."""
-    names = [F.lit(whole)] if whole else []
-    names += [F.when(test, F.lit(name)) for name, test in tests.items()]
-    return cells.withColumn("stratum", F.explode(F.array_compact(F.array(*names))))
+# Strata of slope sides: the parts each is made of, null for every cell.
+SIDES = {"whole": None, "south": ("south",), "north": ("north",)}
 
 
-def by_aspect(cells: DataFrame, *, whole: bool = True) -> DataFrame:
-    """Cells by slope side and for the whole area; needs an aspect column."""
-    side = terrain.aspect_side(F.col("aspect"))
-    return in_strata(
-        cells, {"south": side == "south", "north": side == "north"}, whole="whole" if whole else None
-    ).drop("aspect")
+def strata_percentiles(
+    cells: DataFrame,
+    part: str,
+    strata: Mapping[str, Sequence[str] | None],
+    percentiles: Sequence[float],
+    *,
+    min_pixels: int = 100,
+    inclusive: bool = False,
+    method: str = "binned",
+    scene: Sequence[str] = SCENE,
+) -> DataFrame:
+    """Percentiles of strata that may contain each other, such as a whole area and parts of it.
+
+    ``part`` is the finest class of a cell; counts of the parts add up to
+    those of a stratum, so that a cell is read and moved once for all of them.
+    The whole area needs any cell, other strata more than ``min_pixels`` (or as
+    many, when ``inclusive``).
+    """
+    found = grouped_percentiles(
+        cells, scene, "value", percentiles, min_count=0, inclusive=False, method=method, part=part, strata=strata
+    )
+    everything = [name for name, parts in strata.items() if parts is None]
+    enough = F.col("n") >= min_pixels if inclusive else F.col("n") > min_pixels
+    return found.filter(F.col("stratum").isin(*everything) | enough)
 
 
 def whole_and_sides(
     cells: DataFrame, percentiles: Sequence[float], *, min_pixels: int = 100, method: str = "binned"
 ) -> DataFrame:
-    """Percentiles of the whole area (any cell) and of each side (more than ``min_pixels``)."""
-    scenes = zonal_percentiles(
-        by_aspect(cells), ["stratum"], percentiles, min_pixels=0, inclusive=False, method=method
-    )
-    return scenes.filter((F.col("stratum") == "whole") | (F.col("n") > min_pixels))
+    """Percentiles of the whole area (any cell) and of each side (more than ``min_pixels``); needs an aspect column."""
+    sided = cells.withColumn("side", terrain.aspect_side(F.col("aspect"))).drop("aspect")
+    return strata_percentiles(sided, "side", SIDES, percentiles, min_pixels=min_pixels, method=method)
 
 
 def zonal_whole_aoi(cells: DataFrame, percentiles: Sequence[float] = (75,), *, method: str = "binned") -> DataFrame:
@@ -346,9 +359,9 @@ def aspect_series(scene_p75: DataFrame) -> DataFrame:
 
 def aspect_diff_both(cells: DataFrame, *, min_pixels: int = 100, method: str = "binned") -> DataFrame:
     """South minus north p75 per scene, null unless both sides have ``min_pixels`` or more."""
-    sides = zonal_percentiles(
-        by_aspect(cells, whole=False), ["stratum"], (75,), min_pixels=min_pixels, method=method
-    )
+    side = terrain.aspect_side(F.col("aspect"))
+    sided = cells.withColumn("stratum", side).drop("aspect").filter(F.col("stratum").isin("south", "north"))
+    sides = zonal_percentiles(sided, ["stratum"], (75,), min_pixels=min_pixels, method=method)
     return strata_wide(sides, ["south", "north"], "p75").select(
         *SCENE, (F.col("south") - F.col("north")).alias("diff")
     )

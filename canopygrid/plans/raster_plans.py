@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from canopygrid.functions import bands as B
 from canopygrid.functions import naming, terrain
 from canopygrid.model import INDICES, LANDSAT, SENTINEL2, Grid
-from canopygrid.operators import composites, grid, pixels, strata
+from canopygrid.operators import composites, grid, incremental, pixels, strata
 from canopygrid.plans import fixtures as fx
+from canopygrid.session import shared_folder
+from canopygrid.sources import writers
 
 KEYS = list(fx.CELL_KEYS)
 # Smallest number of cells a class or band needs on the small test grids.
@@ -318,6 +320,17 @@ def annual_max(spark, sf):
     return annual(spark, sf).withColumn("value", F.round("value", 6))
 
 
+def annual_max_kept(spark, sf):
+    """The same kept up to date: half of the scenes, then those that have come since."""
+    store, path = shared_folder(spark, "scenes"), shared_folder(spark, "composites")
+    writers.write_cells(fx.cells(spark, sf).withColumn("sensor", F.lit(SENTINEL2.name)), store, tile=16)
+    cells, scenes = spark.read.parquet(store), fx.scenes(spark, sf)
+    incremental.extend_composites(cells, scenes.filter("month % 2 = 0"), path, tile=16)
+    incremental.extend_composites(cells, scenes, path, tile=16)
+    kept = incremental.kept_composites(spark, path)
+    return kept.select("aoi", "index_name", "year", "row", "col", r6("value"))
+
+
 def monthly_max(spark, sf):
     return monthly(spark, sf).withColumn("value", F.round("value", 6))
 
@@ -348,6 +361,16 @@ def baseline_neutral(spark, sf):
     )
 
 
+def baseline_neutral_kept(spark, sf):
+    """The same by moments: of all years, from which those of other classes are taken out again."""
+    layers, path = shared_folder(spark, "annual"), shared_folder(spark, "baseline")
+    annual(spark, sf).write.partitionBy("aoi", "year").parquet(layers)
+    stored, classes = spark.read.parquet(layers), fx.year_class(spark, sf)
+    incremental.sync_baseline(stored, stored.select("aoi", "year"), path)
+    incremental.sync_baseline(stored, classes.filter("classification = 'neutral'"), path)
+    return incremental.kept_baseline(spark, path).withColumn("baseline", F.round("baseline", 6))
+
+
 def anomaly(spark, sf):
     """Against the mean of the neutral years."""
     out = composites.anomaly(annual(spark, sf), fx.year_class(spark, sf))
@@ -385,7 +408,8 @@ QUERIES = {
         aspect_strata, aspect_strata_slope5, steep_mask, elev_bands_fixed, elev_bands_positive, elev_bands_uniform,
         forest_group_strata, skipped_groups, ecozone_strata, mask_coverage, mask_overlap_audit, class_histogram,
         class_topk,
-        annual_max, monthly_max, composite_drop_empty, composite_metadata, baseline_mean, baseline_neutral,
+        annual_max, annual_max_kept, monthly_max, composite_drop_empty, composite_metadata, baseline_mean, baseline_neutral,
+        baseline_neutral_kept,
         anomaly, anomaly_stats, acquired_date,
     )
 }

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopygrid.model import INDICES, LANDSAT
-from canopygrid.operators import crosstab, strata, trend, zonal
+from canopygrid.model import INDICES, LANDSAT, SENTINEL2
+from canopygrid.operators import composites, crosstab, incremental, pixels, strata, trend, zonal
 from canopygrid.plans import fixtures as fx
 from canopygrid.plans.raster_plans import MIN_CLASS_PX, monthly
+from canopygrid.session import shared_folder
+from canopygrid.sources import colocated
 
 # Smallest number of cells per scene and stratum on the small test scenes.
 MIN_PIXELS = 30
@@ -28,6 +30,21 @@ def zonal_percentiles(spark, sf):
     return rounded(scene_p(spark, sf))
 
 
+def colocated_cells(spark, sf, tile=16, buckets=8):
+    """Index cells with each area's own zones: bands and zones stored by tile, and joined where they lie."""
+    names = []
+    for what, df in (("bands", fx.obs(spark, sf)), ("zones", fx.area_traits(spark, sf).filter(F.col("ecozone").isin(1, 2, 3)))):
+        folder = shared_folder(spark, what)
+        names.append(f"{what}_{folder[-32:]}")
+        colocated.write_bucketed(df, names[-1], buckets=buckets, tile=tile, folder=folder)
+    bands, zones = (spark.table(n) for n in names)
+    return pixels.index_cells(colocated.colocated_join(spark, bands, zones, ["ecozone"]), SENTINEL2, (*fx.CELL_KEYS, "ecozone"))
+
+
+def zonal_percentiles_colocated(spark, sf):
+    return rounded(zonal.zonal_percentiles(colocated_cells(spark, sf), ["ecozone"], min_pixels=MIN_PIXELS))
+
+
 def zonal_whole_aoi(spark, sf):
     return rounded(zonal.zonal_whole_aoi(fx.cells(spark, sf), (75, 95)))
 
@@ -121,6 +138,23 @@ def zonal_median_monthly(spark, sf):
     return rounded(medians(spark, sf))
 
 
+def zonal_median_monthly_kept(spark, sf):
+    """Kept by month: all months, then those of one changed scene, then what is kept."""
+    path = shared_folder(spark, "medians")
+    cells, traits = fx.wide_cells(spark, sf), fx.area_traits(spark, sf)
+
+    def make(months):
+        composite = composites.max_composite_wide(cells.filter(months), ("year", "month"))
+        return zonal.zonal_median_monthly(composite, traits, min_pixels=MIN_PIXELS)
+
+    scenes = fx.scenes(spark, sf).withColumn("processed", F.lit(1))
+    parameters = f"median, {MIN_PIXELS} cells"
+    incremental.sync_months(scenes, make, path, parameters, ["processed"])
+    redone = F.when((F.col("scene_id") == 199703) & (F.col("aoi") == "north"), 2).otherwise(1)
+    incremental.sync_months(scenes.withColumn("processed", redone), make, path, parameters, ["processed"])
+    return rounded(incremental.kept_months(spark, path))
+
+
 def season_mean(spark, sf):
     """Mean of the monthly medians of December, counted for the year after."""
     return rounded(zonal.season_means(medians(spark, sf), (12,), "december", year_shift=1))
@@ -299,10 +333,10 @@ def class_contrast(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        zonal_percentiles, zonal_whole_aoi, peak_productivity, peak_productivity_landsat, peak_summary_wide, ecological_space,
+        zonal_percentiles, zonal_percentiles_colocated, zonal_whole_aoi, peak_productivity, peak_productivity_landsat, peak_summary_wide, ecological_space,
         seasonal_curves, seasonal_scene_count, seasonal_band, seasonal_sync, drought_response,
         drought_scene_counts, unclassified_scenes, drought_space, drought_table_wide, year_class_summary,
-        season_partition, moisture_amplitude, zonal_median_monthly, season_mean, seasonal_amplitude,
+        season_partition, moisture_amplitude, zonal_median_monthly, zonal_median_monthly_kept, season_mean, seasonal_amplitude,
         amplitude_trend, longterm_trend, trend_range, rolling_mean_5, trend_year_class, elevation_gradient,
         aspect_series, aspect_diff, aspect_diff_both, aspect_summary, aspect_verdict, strata_percentiles,
         elevation_percentiles, elevation_diff, elevation_diff_series,

@@ -21,6 +21,8 @@ SETTINGS = {
     # Re-running a build replaces only the partitions it writes.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Tables in buckets of tiles are joined by cell where they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -65,6 +65,12 @@ FROM zones z CROSS JOIN known_groups k LEFT JOIN traits t ON t.ecozone = z.ecozo
 
 SQL = {
     "zonal_percentiles": v(f"SELECT {_SCENE}, ecozone, n, {_r('p95', 'p99', 'p100')} FROM scene_p", "scene_p"),
+    "zonal_percentiles_colocated": v(
+        f"""SELECT {_SCENE}, ecozone, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS p100
+        FROM cells JOIN area_traits USING (aoi, "row", "col") WHERE ecozone IN (1, 2, 3) GROUP BY {_SCENE}, ecozone HAVING count(*) >= 30""",
+        "cells",
+        "area_traits",
+    ),
     "zonal_whole_aoi": v(
         f"""SELECT {_SCENE}, count(*) AS n, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95 FROM cells GROUP BY {_SCENE}""",
         "cells",
@@ -261,3 +267,5 @@ SQL = {
         _SHARES.format(side_counts("forest_type"), "type_labels") + " WHERE c.code IN (502, 505)", "sided", "type_labels"
     ),
 }
+
+SQL["zonal_median_monthly_kept"] = SQL["zonal_median_monthly"]

@@ -21,8 +21,10 @@ def check(spark, groups, **options):
         clean = [v for v in vs if v is not None and not np.isnan(v)]
         if clean:
             want[g] = [len(clean), *np.percentile(clean, PS)]
-    for most in (10_000, 0):  # bins of interest broadcast, and not
-        got = by_group(grouped_percentiles(df, ["g"], "value", PS, most_targets=most, **options))
+    for bins in (options.pop("bins", None), (1024,), (8, 16), (4, 4, 4)):
+        if bins is None:
+            continue
+        got = by_group(grouped_percentiles(df, ["g"], "value", PS, bins=bins, **options))
         assert set(got) == set(want)
         for g in want:
             np.testing.assert_allclose(got[g], want[g], rtol=1e-12, atol=1e-12)
@@ -46,7 +48,7 @@ def test_matches_numpy(spark, method):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-3, 3), min_size=1, max_size=60))
 def test_binned_equals_numpy_for_any_values(spark, values):
-    check(spark, {"a": values, "b": values[: len(values) // 2 + 1]}, bins=16)
+    check(spark, {"a": values, "b": values[: len(values) // 2 + 1]}, bins=(16,))
 
 
 def test_hot_group(spark):
@@ -80,3 +82,42 @@ def test_threshold_edges(spark, method, inclusive, want):
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         grouped_percentiles(spark.range(1), [], "id", (50,), method="guess")
+
+
+def stratified(spark, rows, strata, **options):
+    df = spark.createDataFrame(rows, "g string, side string, value double")
+    got = grouped_percentiles(df, ["g"], "value", PS, part="side", strata=strata, **options)
+    assert got.columns == ["g", "stratum", "n", *NAMES]
+    return {(r.g, r.stratum): [r.n, *[r[n] for n in NAMES]] for r in got.collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"bins": (16,)}, {"bins": (4, 8)}, {"method": "hash"}])
+def test_strata_add_up(spark, options):
+    """Strata that overlap, one of everything, one that nothing belongs to, and parts that no stratum names."""
+    rng = np.random.default_rng(6)
+    rows = [
+        (str(g), side, float(v))
+        for g in range(4)
+        for side, n in (("s", 90), ("n", 40 * g), ("e", 5), (None, 7), ("", 3))
+        for v in rng.uniform(-1.2, 1.2, n).round(2)
+    ]
+    strata = {"whole": None, "south": ["s"], "north": ["n"], "both": ["s", "n"], "none": ["x"]}
+    want = {}
+    for g in map(str, range(4)):
+        for name, parts in strata.items():
+            vs = [v for k, side, v in rows if k == g and (parts is None or side in parts)]
+            if vs:
+                want[g, name] = [len(vs), *np.percentile(vs, PS)]
+    got = stratified(spark, rows, strata, **options)
+    assert set(got) == set(want)
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-12, atol=1e-12)
+    assert stratified(spark, [], strata, **options) == {}
+
+
+def test_bits_that_meet_change_nothing(spark, monkeypatch):
+    from canopygrid.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "MARKS", 64)
+    rng = np.random.default_rng(7)
+    check(spark, {str(g): list(rng.uniform(-1, 1, 40)) for g in range(60)})
