@@ -7,11 +7,13 @@ each occurrence of a phrase begins exactly one window, the sum of a prefix is
 the phrase's frequency; the sum over all of a language's windows is its number
 of words. Nothing is counted for each length by itself.
 
-A window ends early where no phrase can go on: at a word, or a pair of
-neighbours, seen fewer times than a candidate must be. Which those are tells a
-table of bits addressed by hash: a first pass counts hashes, and a bit is set
-where a count is high enough. Hashes may meet, so some rare pairs stay in the
-windows, which costs rows and changes nothing; no frequent one is ever cut.
+A window ends early where no phrase can go on: at a word, or behind two or
+three neighbours, seen fewer times than a candidate must be. Which those are
+tells a table of bits addressed by hash: a first pass counts hashes of up to
+three words, and a bit is set where a count is high enough. Hashes may meet, so
+some rare ones stay in the windows, which costs rows and changes nothing; no
+frequent one is ever cut. The hashes of a stretch of text travel sorted, as
+their distances, in a row per range of the table.
 """
 
 from __future__ import annotations
@@ -34,11 +36,12 @@ UNKNOWN = "und"
 SEED = 42
 # Bytes of text worked on at a time in a task.
 STRETCH = 8 << 20
-# The table of bits has one for so many bytes of text, and at most 2^28, so that 32 MB are sent.
-BYTES_A_BIT = 128
+# The same where windows are counted: what the stretches of a task have in common, Spark's partial aggregate combines.
+WINDOWS = 1 << 18
+# The table has a bit for so many bytes of text, and at most 2^28 bits, so that 32 MB are sent; a range of it has 2^16.
+BYTES_A_BIT = 16
 MOST_BITS = 28
-FEWEST_BITS = 15
-PART = 1 << 15
+RANGE = 16
 
 # A-Z to small letters, marks that end a piece to the line feed, tab to blank.
 _TABLE = bytearray(range(256))
@@ -58,9 +61,9 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.n
     data = data[int(offsets[0]) : int(offsets[-1])].to_pybytes().translate(TABLE) if data else b""
     begins = pa.py_buffer((offsets - offsets[0]).astype(np.int32))
     pieces = pc.split_pattern(pa.Array.from_buffers(pa.binary(), len(texts), [None, begins, pa.py_buffer(data)]), b"\n")
-    of_piece = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))
+    of_piece = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(pieces.offsets.to_numpy()))
     words = pc.split_pattern(pieces.flatten(), b" ")
-    piece = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    piece = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(words.offsets.to_numpy()))
     words = words.flatten()
     real = pc.greater(pc.binary_length(words), 0)
     coded = words.filter(real).dictionary_encode()
@@ -73,17 +76,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hashes(codes: np.ndarray, words: pa.Array, piece: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word and of it and the next, and whether the next is of the same piece; ``lang`` is a hash per word."""
+def hashes(codes: np.ndarray, words: pa.Array, piece: np.ndarray, lang: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2 and 3 words from each word on, their hash and whether they are of one piece; ``lang`` is a hash per word."""
     import xxhash
 
     each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words.to_pylist()], np.uint64)[codes]
-    one = _mix(each ^ lang)
-    two = _mix(each[:-1] * np.uint64(3) + (each[1:] ^ (lang[1:] << np.uint64(1))))
-    return one, two, piece[1:] == piece[:-1]
+    h, found = _mix(each ^ lang), [(_mix(each ^ lang), np.ones(len(codes), bool))]
+    for k in (1, 2):
+        h = _mix(h[:-1] * np.uint64(3) + each[k:])
+        found.append((h, piece[k:] == piece[:-k]))
+    return found
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, pa.DictionaryArray]]:
+def _planes(numbers: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that small numbers shrink when shuffled."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _stretches(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, pa.DictionaryArray]]:
     """Words of a batch a stretch at a time, the language's hash of each word and the languages of texts."""
     import xxhash
 
@@ -91,7 +106,7 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array, np
     a = 0
     while a < batch.num_rows:
         before = sizes[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(sizes, before + STRETCH)))
+        b = max(a + 1, int(np.searchsorted(sizes, before + size)))
         own = batch.slice(a, b - a)
         codes, words, piece, text = split_words(own["bytes"])
         langs = own["lang"].dictionary_encode()
@@ -102,26 +117,44 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array, np
 
 
 def frequent_bits(rows: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Table of 2^bits bits, set where the hashes of words and pairs number ``least`` or more."""
-    shift = np.uint64(64 - bits)
+    """Table of 2^bits bits, set where the hashes of one, two and three words number ``least`` or more."""
+    shift, span = np.uint64(64 - bits), 1 << RANGE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for codes, words, piece, _, lang, _ in _stretches(batch):
-                if len(codes):
-                    one, two, same = hashes(codes, words, piece, lang)
-                    places = (np.concatenate([one, two[same]]) >> shift).astype(np.int32)
-                    place, n = np.unique(places, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"place": place, "n": n.astype(np.int32)})
-
-    counted = rows.mapInArrow(count, "place int, n int").groupBy("place").agg(F.sum("n").alias("n"))
-    heavy = counted.filter(F.col("n") >= least)
-    packed = heavy.groupBy(F.expr(f"place div {PART}").alias("part")).agg(
-        F.bitmap_construct_agg((F.col("place") % PART).cast("long")).alias("bits")
-    )
+            for codes, words, piece, _, lang, _ in _stretches(batch, STRETCH):
+                if not len(codes):
+                    continue
+                places = np.concatenate([h[same] >> shift for h, same in hashes(codes, words, piece, lang)])
+                place, n = np.unique(places.astype(np.uint32), return_counts=True)
+                part, starts = np.unique(place >> np.uint32(RANGE), return_index=True)
+                ends = [*starts[1:].tolist(), len(place)]
+                apart = np.diff(place, prepend=np.uint32(0))
+                apart[starts] = place[starts] & np.uint32(span - 1)
+                apart, n = apart.astype("<u2"), n.astype("<u4")
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": part.astype(np.int32),
+                        "apart": pa.array([_planes(apart[a:b]) for a, b in zip(starts, ends)], pa.binary()),
+                        "n": pa.array([_planes(n[a:b]) for a, b in zip(starts, ends)], pa.binary()),
+                    }
+                )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(span, np.int64), None
+        for batch in batches:
+            for own, apart, n in zip(batch["part"], batch["apart"], batch["n"]):
+                part = own.as_py()
+                total[np.cumsum(_numbers(apart.as_py(), "<u2"), dtype=np.int64)] += _numbers(n.as_py(), "<u4")
+        yield pa.RecordBatch.from_pydict(
+            {"part": pa.array([part], pa.int32()), "bits": [np.packbits(total >= least, bitorder="little").tobytes()]}
+        )
+
+    counted = rows.mapInArrow(count, "part int, apart binary, n binary")
+    packed = counted.groupBy("part").applyInArrow(add, "part int, bits binary")
     table = np.zeros((1 << bits) // 8, np.uint8)
     for r in packed.collect():
-        table[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, np.uint8)
+        table[r.part * span // 8 : (r.part + 1) * span // 8] = np.frombuffer(r.bits, np.uint8)
     return table
 
 
@@ -142,19 +175,19 @@ def count_windows(rows: DataFrame, table: np.ndarray, window: int = WINDOW) -> D
             return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
         for batch in batches:
-            for codes, words, piece, of, lang, langs in _stretches(batch):
+            for codes, words, piece, of, lang, langs in _stretches(batch, WINDOWS):
                 if not len(codes):
                     continue
-                one, two, same = hashes(codes, words, piece, lang)
-                goes = is_set(one)
-                on = np.append(goes[:-1] & goes[1:] & same & is_set(two), False)
-                columns = {"lang": pa.array(of.astype(np.int32))}
-                lead = codes
+                one, two, three = (is_set(h) & same for h, same in hashes(codes, words, piece, lang))
+                two &= one[:-1] & one[1:]
+                three &= two[:-1] & two[1:]
+                goes, columns, lead = one, {"lang": pa.array(of.astype(np.int32))}, codes
                 for k, name in enumerate(names):
                     if k:
+                        # The k-th word goes on from the two before it, the second from the first.
+                        on = two if k == 1 else three[k - 2 :]
+                        goes = goes & np.append(on, np.zeros(len(goes) - len(on), bool))
                         lead = np.append(lead[1:], -1)
-                        goes = goes & on
-                        on = np.append(on[1:], False)
                     columns[name] = np.where(goes, lead, -1).astype(np.int32)
                 met = pa.table(columns).group_by(["lang", *names]).aggregate([([], "count_all")])
                 words = pa.concat_arrays([words.view(pa.string()), pa.array([""])])
@@ -216,7 +249,7 @@ def collocations(
     ).filter(F.octet_length("bytes") > 0)
     if bits is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-        bits = min(MOST_BITS, max(FEWEST_BITS, (size * 8 // BYTES_A_BIT).bit_length()))
+        bits = min(MOST_BITS, max(RANGE, (size // BYTES_A_BIT).bit_length()))
     table = frequent_bits(rows, least, bits)
     windows = stored(count_windows(rows, table, window), "collocations-windows")
     counts = stored(phrase_counts(windows, least), "collocations-counts")

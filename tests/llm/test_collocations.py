@@ -70,7 +70,7 @@ def invented(seed, docs=60):
     return texts
 
 
-@pytest.mark.parametrize(("least", "top", "share", "bits"), [(5, 2000, 100, None), (2, 7, 100, 15), (4, 2000, 60, 20), (1, 50, 100, 15)])
+@pytest.mark.parametrize(("least", "top", "share", "bits"), [(5, 2000, 100, None), (2, 7, 100, 16), (4, 2000, 60, 20), (1, 50, 100, 16)])
 def test_matches_brute_force(spark, least, top, share, bits):
     rows = invented(least)
     want = brute(rows, least, top, share)
@@ -81,6 +81,7 @@ def test_matches_brute_force(spark, least, top, share, bits):
 def test_small_stretches_and_a_full_table(spark, monkeypatch):
     """A table of bits that is all set only keeps more windows."""
     monkeypatch.setattr(collocations, "STRETCH", 40)
+    monkeypatch.setattr(collocations, "WINDOWS", 25)
     rows = invented(9, 30)
     assert run(spark, rows, least=3) == brute(rows, 3, 2000)
     bits = collocations.frequent_bits
@@ -89,11 +90,12 @@ def test_small_stretches_and_a_full_table(spark, monkeypatch):
 
 
 def test_rare_words_end_windows(spark):
-    rows = [("a b c a b d a b e", "en"), ("a b", "en")]
+    rows = [("a b c a b d a b e", "en"), ("a b", "en"), ("p q r. " * 2 + "p q. q r", "de")]
     df = spark.createDataFrame([(t.encode(), g) for t, g in rows], "bytes binary, lang string")
     table = collocations.frequent_bits(df, 3, 20)
     windows = {tuple(r) for r in collocations.count_windows(df, table).collect()}
-    assert windows == {("en", "a", "b", "", "", "", 4), ("en", "b", "", "", "", "", 4), ("en", "", "", "", "", "", 3)}
+    assert windows == {("en", "a", "b", "", "", "", 4), ("en", "b", "", "", "", "", 4), ("en", "", "", "", "", "", 3),
+                       ("de", "p", "q", "", "", "", 3), ("de", "q", "r", "", "", "", 3), ("de", "q", "", "", "", "", 1), ("de", "r", "", "", "", "", 3)}
 
 
 def test_window_length(spark):
