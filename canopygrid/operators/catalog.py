@@ -104,6 +104,76 @@ def footprint_intersects(items: DataFrame, areas: DataFrame, bucket: float) -> D
     )
 
 
+def _segments(vertices: DataFrame, owner: str, p: str) -> DataFrame:
+    """Sides of closed rings (owner, ring, seq, x, y), columns named by ``p``."""
+    following = vertices.select(owner, "ring", (F.col("seq") - 1).alias("seq"), F.col("x").alias(f"{p}x2"), F.col("y").alias(f"{p}y2"))
+    return vertices.join(following, [owner, "ring", "seq"]).select(
+        owner, F.col("x").alias(f"{p}x1"), F.col("y").alias(f"{p}y1"), f"{p}x2", f"{p}y2"
+    )
+
+
+def _turn(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> Column:
+    """Which side of the line from a to b the point c lies on; 0 on it."""
+    return F.signum(F.expr(f"({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax})"))
+
+
+def _segments_meet() -> Column:
+    """Whether segment a meets segment b, ends included."""
+    t1, t2 = _turn("ax1", "ay1", "ax2", "ay2", "bx1", "by1"), _turn("ax1", "ay1", "ax2", "ay2", "bx2", "by2")
+    t3, t4 = _turn("bx1", "by1", "bx2", "by2", "ax1", "ay1"), _turn("bx1", "by1", "bx2", "by2", "ax2", "ay2")
+    boxes = F.expr(
+        "greatest(ax1, ax2) >= least(bx1, bx2) AND greatest(bx1, bx2) >= least(ax1, ax2) "
+        "AND greatest(ay1, ay2) >= least(by1, by2) AND greatest(by1, by2) >= least(ay1, ay2)"
+    )
+    return boxes & (t1 * t2 <= 0) & (t3 * t4 <= 0)
+
+
+def _contains(points: DataFrame, segments: DataFrame, key: str, bucket: float) -> DataFrame:
+    """(item, aoi) whose point (px, py) lies inside the rings of ``key``, by the even-odd rule."""
+    low, high = F.floor(F.least("by1", "by2") / bucket), F.floor(F.greatest("by1", "by2") / bucket)
+    banded = segments.withColumn("__by", F.explode(F.sequence(low, high)))
+    right = F.expr("(by1 > py) <> (by2 > py) AND px < (bx2 - bx1) * (py - by1) / nullif(by2 - by1, 0) + bx1")
+    return (
+        points.withColumn("__by", F.floor(F.col("py") / bucket))
+        .join(banded, [key, "__by"])
+        .filter(right)
+        .groupBy("item", "aoi", "px", "py")
+        .count()
+        .filter("count % 2 = 1")
+        .select("item", "aoi")
+    )
+
+
+def polygons_intersect(pairs: DataFrame, footprints: DataFrame, areas: DataFrame, bucket: float) -> DataFrame:
+    """The (item, aoi) ``pairs`` whose polygons share a point.
+
+    ``footprints`` (item, ring, seq, x, y) and ``areas`` (aoi, ring, seq, x,
+    y) are closed rings, numbered without gaps; rings within rings are holes
+    (even-odd). Polygons meet where sides do, or where one lies within the
+    other, of which then any corner tells. Sides are entered into square
+    buckets and joined on them, corners with the sides of their band; no side is
+    compared with all others.
+    """
+    pairs = pairs.select("item", "aoi").distinct()
+    a = _segments(footprints, "item", "a").join(pairs, "item")
+    b = _segments(areas, "aoi", "b")
+
+    def entered(df: DataFrame, p: str) -> DataFrame:
+        for axis in "xy":
+            ends = [f"{p}{axis}1", f"{p}{axis}2"]
+            low, high = F.floor(F.least(*ends) / bucket), F.floor(F.greatest(*ends) / bucket)
+            df = df.withColumn(f"__b{axis}", F.explode(F.sequence(low, high)))
+        return df
+
+    crossing = entered(a, "a").join(entered(b, "b"), ["aoi", "__bx", "__by"]).filter(_segments_meet()).select("item", "aoi")
+    corner = [F.col("x").alias("px"), F.col("y").alias("py")]
+    first = F.col("seq") == 0
+    in_area = _contains(pairs.join(footprints.filter(first).select("item", *corner), "item"), b, "aoi", bucket)
+    own = _segments(footprints, "item", "b")
+    in_item = _contains(pairs.join(areas.filter(first).select("aoi", *corner), "aoi"), own, "item", bucket)
+    return crossing.unionByName(in_area).unionByName(in_item).distinct()
+
+
 def cloud_filter(items: DataFrame, cloud_max: float = 40) -> DataFrame:
     """Strictly below ``cloud_max``; unknown cloud cover counts as 100."""
     return items.filter(F.coalesce("cloud_cover", F.lit(100.0)) < cloud_max)

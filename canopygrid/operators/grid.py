@@ -137,6 +137,52 @@ def with_aoi_flag(cells: DataFrame, vertices: DataFrame, grid: Grid) -> DataFram
     return cells.join(runs, ["aoi", "row"], "left").withColumn("in_aoi", F.coalesce(inside, F.lit(False))).drop("__runs")
 
 
+CROSSED, WHOLE = 1, 2
+
+
+def aoi_tiles(vertices: DataFrame, grid: Grid, tile: int = TILE) -> DataFrame:
+    """(aoi, tile_row, tile_col, cover): the storage tiles that hold cells of each area.
+
+    ``cover`` is ``WHOLE`` where all of a tile's cells are inside, ``CROSSED``
+    where the outline parts them. Tiles that are not listed lie outside. Runs
+    are added up by tile; the outline is not looked at again.
+    """
+    first, last = F.floor(F.col("col_from") / tile), F.floor((F.col("col_to") - 1) / tile)
+    spread = aoi_spans(vertices, grid).withColumn("tile_col", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    inside = F.least("col_to", (F.col("tile_col") + 1) * tile) - F.greatest("col_from", F.col("tile_col") * tile)
+    wide = F.least(F.lit(tile), F.lit(grid.width) - F.col("tile_col") * tile)
+    high = F.lit(tile)
+    if grid.height is not None:
+        high = F.least(high, F.lit(grid.height) - F.col("tile_row") * tile)
+    return (
+        spread.groupBy("aoi", F.floor(F.col("row") / tile).cast("int").alias("tile_row"), "tile_col")
+        .agg(F.sum(inside).alias("__n"))
+        .select("aoi", "tile_row", "tile_col", F.when(F.col("__n") == wide * high, WHOLE).otherwise(CROSSED).alias("cover"))
+    )
+
+
+def tile_columns(tile: int = TILE) -> dict[str, Column]:
+    return {f"tile_{c}": F.floor(F.col(c) / tile).cast("int") for c in ("row", "col")}
+
+
+def inside_area(
+    cells: DataFrame, vertices: DataFrame, grid: Grid, tile: int = TILE, tiles: DataFrame | None = None
+) -> DataFrame:
+    """The cells whose centre lies inside their area.
+
+    A cell's tile decides where it lies wholly inside or outside; only cells
+    of tiles that the outline crosses meet runs. Where ``cells`` is a store with
+    partitions by (tile_row, tile_col) and ``tiles`` a stored table of
+    ``aoi_tiles``, files of tiles outside are not read.
+    """
+    tiles = aoi_tiles(vertices, grid, tile) if tiles is None else tiles
+    missing = {c: v for c, v in tile_columns(tile).items() if c not in cells.columns}
+    tiled, at = cells.withColumns(missing) if missing else cells, ["aoi", "tile_row", "tile_col"]
+    of = lambda cover: tiled.join(tiles.filter(F.col("cover") == cover).select(*at), at, "left_semi").select(*cells.columns)
+    crossed = with_aoi_flag(of(CROSSED), vertices, grid).filter("in_aoi").select(*cells.columns)
+    return of(WHOLE).unionByName(crossed)
+
+
 def aoi_pixels(vertices: DataFrame, grid: Grid) -> DataFrame:
     """Cells whose centre lies inside each area: (aoi, area_px), summed over runs."""
     return aoi_spans(vertices, grid).groupBy("aoi").agg(
@@ -201,6 +247,60 @@ def regrid_bilinear(target: DataFrame, source: DataFrame, to: Grid, frm: Grid, v
     )
 
 
+def resample_bilinear(
+    source: DataFrame, to: Grid, frm: Grid, value: str, *, keys: Sequence[str] = (), tile: int = TILE
+) -> DataFrame:
+    """All cells of a grid whose centre lies in a cell of ``source``, with the weighted mean of the four cells around it.
+
+    As ``regrid_bilinear``, for whole layers: the target's cells are not given
+    but follow from the grids. Source cells are shuffled once, by tile, those
+    on a tile's edge to its neighbour too; everything else happens in a tile.
+    """
+    held = list(keys)
+    own = source.select(*held, "row", "col", F.col(value).cast("double").alias("__v"))
+    at = [*held, "__tr", "__tc"]
+    # A cell is a corner of the four squares between centres that it touches; its own tile and that above and to the left.
+    tiles = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor(F.col(c) / tile).cast("int")))
+    dealt = own.withColumn("__tr", F.explode(tiles("row"))).withColumn("__tc", F.explode(tiles("col"))).repartition(*at)
+    corners = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (0, 1) for c in (0, 1)])
+    squares = (
+        dealt.select("*", F.inline(corners))
+        .withColumns({"__r": F.col("row") - F.col("dr"), "__c": F.col("col") - F.col("dc")})
+        .filter((F.floor(F.col("__r") / tile) == F.col("__tr")) & (F.floor(F.col("__c") / tile) == F.col("__tc")))
+    )
+    names, picks = [], []
+    good = B.finite(F.col("__v"))
+    for r in (0, 1):
+        for c in (0, 1):
+            here = (F.col("dr") == r) & (F.col("dc") == c)
+            names.append((r, c, f"__v{r}{c}", f"__p{r}{c}"))
+            picks += [F.max(F.when(here & good, F.col("__v"))).alias(f"__v{r}{c}"), F.coalesce(F.bool_or(here), F.lit(False)).alias(f"__p{r}{c}")]
+    squares = squares.groupBy(*at, "__r", "__c").agg(*picks)
+
+    # Target centres at a distance of [0, 1) below and right of a square's first centre.
+    def numbers(first: Column, origin: float, step: float, size: int | None) -> Column:
+        low = F.greatest(F.ceil((first - origin) / step - 0.5), F.lit(0)).cast("int")
+        high = (F.ceil((first + 1 - origin) / step - 0.5) - 1).cast("int")
+        high = high if size is None else F.least(high, F.lit(size - 1))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    # In source cells, from the centre of its first cell.
+    y0, x0 = (frm.y_max - to.y_max) / frm.dy - 0.5, (to.x_min - frm.x_min) / frm.dx - 0.5
+    sy, sx = to.dy / frm.dy, to.dx / frm.dx
+    cells = squares.withColumn("row", F.explode(numbers(F.col("__r"), y0, sy, to.height))).withColumn(
+        "col", F.explode(numbers(F.col("__c"), x0, sx, to.width))
+    )
+    fr = y0 + (F.col("row") + 0.5) * sy - F.col("__r")
+    fc = x0 + (F.col("col") + 0.5) * sx - F.col("__c")
+    up, down, within = F.lit(0.0), F.lit(0.0), F.lit(False)
+    for r, c, v, present in names:
+        weight = (fr if r else 1 - fr) * (fc if c else 1 - fc)
+        up = up + F.when(F.col(v).isNotNull() & (weight > 0), weight * F.col(v)).otherwise(0.0)
+        down = down + F.when(F.col(v).isNotNull() & (weight > 0), weight).otherwise(0.0)
+        within = within | (F.col(present) & ((fr >= 0.5) if r else (fr < 0.5)) & ((fc >= 0.5) if c else (fc < 0.5)))
+    return cells.filter(within).select(*held, "row", "col", F.try_divide(up, F.when(down > 0, down)).alias(value))
+
+
 def dem_mosaic(*tiles: DataFrame) -> DataFrame:
     """Mean elevation of all tiles covering a cell."""
     stacked = tiles[0]

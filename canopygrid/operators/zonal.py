@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopygrid.functions import terrain
@@ -290,47 +290,51 @@ def drought_space(response: DataFrame) -> DataFrame:
 # -- elevation ----------------------------------------------------------------
 
 
+def in_elevation_bands(
+    cells: DataFrame, traits: DataFrame, *, width: int = 200, min_band_px: int = 5000, cell: Sequence[str] | None = None
+) -> DataFrame:
+    """Cells of the bands with enough ground, with the band's lower end ``lo``; raw bands go in before rows triple."""
+    band = [*_area(traits), "lo"]
+    bands = S.elevation_bands(traits, width, min_band_px, _area(traits))
+    banded = traits.withColumn("lo", terrain.elevation_band(F.col("elevation"), width))
+    return with_traits(cells, banded.join(bands.select(*band), band, "left_semi"), ["lo"], cell)
+
+
 def elevation_gradient(
-    cells: DataFrame,
+    banded: DataFrame,
     traits: DataFrame,
     *,
     width: int = 200,
     min_band_px: int = 5000,
     min_pixels: int = 200,
-    cell: Sequence[str] | None = None,
     method: str = "binned",
 ) -> DataFrame:
     """Mean scene p95 per elevation band: one row per area and band, a column per index.
 
-    Bands with enough cells are listed for every area with scenes, null where none qualifies.
+    ``banded`` are index cells with the column ``lo`` of ``in_elevation_bands``
+    for the same width and ``min_band_px``. Bands with enough ground are
+    listed for every area with scenes, null where none qualifies.
     """
-    band = [*_area(traits), "lo"]
     bands = S.elevation_bands(traits, width, min_band_px, _area(traits))
-    banded = traits.withColumn("lo", terrain.elevation_band(F.col("elevation"), width))
-    kept = banded.join(bands.select(*band), band, "left_semi")
-    scenes = zonal_percentiles(
-        with_traits(cells, kept, ["lo"], cell), ["lo"], (95,), min_pixels=min_pixels, method=method
-    )
+    scenes = zonal_percentiles(banded, ["lo"], (95,), min_pixels=min_pixels, method=method)
     means = mean_over_scenes(scenes, [*LAYER, "lo"], (95,))
     wide = means.groupBy("aoi", "lo").pivot("index_name", list(INDICES)).agg(F.first("p95"))
-    # A row per area and band from here on.
-    if "aoi" in band:
-        listed = bands.join(wide, band, "left")
-    else:
-        found, band_rows = F.struct("aoi", "lo", *INDICES).alias("__w"), F.struct(*bands.columns).alias("__b")
-        both = wide.select(found).unionByName(bands.select(band_rows), allowMissingColumns=True)
-        opened = (
-            both.agg(F.collect_list("__w").alias("__w"), F.collect_list("__b").alias("__b"))
-            .select(F.explode(F.array_distinct("__w.aoi")).alias("aoi"), "__w", "__b")
-            .select("aoi", "__w", F.inline("__b"))
-        )
-        own = F.filter("__w", lambda w: (w["aoi"] == F.col("aoi")) & (w["lo"] == F.col("lo")))
-        listed = opened.withColumn("__v", F.get(own, 0)).select(
-            "aoi", *bands.columns, *[F.col("__v")[i].alias(i) for i in INDICES]
-        )
-    return listed.select(
-        "aoi", "lo", "hi", "mid", "n_px", *[F.col(i).alias(f"{i}_p95") for i in INDICES]
+    values = [F.col(i).alias(f"{i}_p95") for i in INDICES]
+    if "aoi" in bands.columns:
+        return bands.join(wide, ["aoi", "lo"], "left").select("aoi", "lo", "hi", "mid", "n_px", *values)
+    # A row per area with what it has by band, beside a row with the list of bands, which is spread to all of them.
+    entry = F.struct(F.col("lo"), F.struct(*INDICES))
+    areas = wide.groupBy("aoi").agg(F.map_from_entries(F.collect_list(entry)).alias("__found"), F.lit(True).alias("__area"))
+    listed = bands.agg(F.collect_list(F.struct(*bands.columns)).alias("__bands"))
+    every = F.first("__bands", ignorenulls=True).over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    opened = (
+        areas.unionByName(listed, allowMissingColumns=True)
+        .withColumn("__bands", every)
+        .filter("__area")
+        .select("aoi", "__found", F.inline("__bands"))
     )
+    own = F.try_element_at("__found", F.col("lo"))
+    return opened.select("aoi", "lo", "hi", "mid", "n_px", *[own[i].alias(f"{i}_p95") for i in INDICES])
 
 
 def by_elevation_class(cells: DataFrame) -> DataFrame:

@@ -216,6 +216,14 @@ def footprint_intersects(spark, sf):
     return catalog.footprint_intersects(fx.stac(spark, sf), areas, bucket=16.0).select("item", "aoi")
 
 
+def footprint_polygons(spark, sf):
+    """Footprints that meet an area as polygons, behind the test of their boxes."""
+    items, outlines = fx.footprints(spark, sf), fx.vertices(spark, sf)
+    box = [f(c).alias(f"{c}_{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))]
+    pairs = catalog.footprint_intersects(items.groupBy("item").agg(*box), outlines.groupBy("aoi").agg(*box), 10.0)
+    return catalog.polygons_intersect(pairs, items, outlines, 5.0).select("item", "aoi")
+
+
 def cloud_filter(spark, sf):
     return catalog.cloud_filter(fx.stac(spark, sf), CLOUD_MAX).select("item", "cloud_cover")
 
@@ -307,6 +315,7 @@ QUERIES = {
         scan_cells, scan_manifest, scan_stac_items, scan_year_class, scan_labels, scan_inventory, scan_aoi,
         sink_cells, sink_manifest, sink_inventory, sink_table, incremental_skip,
         search_windows, search_windows_calendar, window_assign, scene_union, footprint_intersects,
+        footprint_polygons,
         cloud_filter, platform_filter, date_range_filter, tile_id, path_row, scene_dedup, scene_dedup_path_row,
         cache_inventory, cache_audit, manifest_heal, manifest_rebuild, year_floor, available_years,
         scene_group_year, scene_group_month,

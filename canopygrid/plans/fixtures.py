@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from canopygrid.functions import naming
 from canopygrid.model import INDICES, LANDSAT, SENTINEL2, Grid
 from canopygrid.operators import catalog, pixels, zonal
+from canopygrid.sources import scene_table
 
 WIDTH = 50
 SCENE_KEYS = ("aoi", "scene_id", "year", "month")
@@ -140,15 +141,15 @@ def cells_landsat(spark: SparkSession, sf: str, indices=INDICES, **options) -> D
 
 
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenes of each area, whether or not a cell is usable."""
-    return obs(spark, sf).select(*SCENE_KEYS).distinct()
+    """Scenes of each area, whether or not a cell is usable: the table that is written when bands come in."""
+    return scene_table.of_bands(spark, sf, lambda: obs(spark, sf))
 
 
 def layers(spark: SparkSession, sf: str, keys=("year",)) -> DataFrame:
     """(aoi, index_name, period) with a scene."""
     names = F.array(*[F.lit(i) for i in INDICES])
     return (
-        obs(spark, sf)
+        scenes(spark, sf)
         .select("aoi", *keys)
         .distinct()
         .withColumn("index_name", F.explode(names))
@@ -179,6 +180,27 @@ def stac(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Corners of a footprint in tenths of its box: a square with a wedge cut out from below, and a hole in every fifth.
+FOOTPRINT = ((0, 0), (4, 0), (5, 8), (6, 0), (10, 0), (10, 10), (0, 10), (0, 0))
+FOOTPRINT_HOLE = ((1, 4), (4, 4), (4, 9), (1, 9), (1, 4))
+
+
+def footprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Footprints of the scene catalog as polygons in the areas' coordinates, concave and some with a hole."""
+    boxes = stac(spark, sf).select(
+        "item", (F.col("x_min") / 2).alias("x0"), (F.col("y_min") / 2).alias("y0"), (F.col("x_max") - F.col("x_min")).alias("w")
+    )
+    # A third is small enough to lie within an area, or its hole.
+    size = F.when(F.col("item") % 3 == 0, F.col("w") / 40).otherwise(F.col("w") / 10)
+    corner = lambda ring, seq, x, y: F.struct(
+        F.lit(ring).alias("ring"), F.lit(seq).alias("seq"), (F.col("x0") + x * size).alias("x"), (F.col("y0") + y * size).alias("y")
+    )
+    rings = F.array(*[corner(0, i, *c) for i, c in enumerate(FOOTPRINT)])
+    hole = F.array(*[corner(1, i, *c) for i, c in enumerate(FOOTPRINT_HOLE)])
+    both = F.when(F.col("item") % 5 == 0, F.concat(rings, hole)).otherwise(rings)
+    return boxes.select("item", F.inline(both))
+
+
 def scenes_s2(spark: SparkSession, sf: str) -> DataFrame:
     """Filtered catalog, one item per day and tile."""
     items = stac(spark, sf).withColumns(

@@ -100,6 +100,17 @@ def aoi_mask(spark, sf):
     )
 
 
+def inside_area(spark, sf, tile=16):
+    """Observations inside their area, from a store in tiles: those outside are not read."""
+    store = shared_folder(spark, "tiled")
+    tiled = fx.obs(spark, sf).select(*KEYS, "nir").withColumns(grid.tile_columns(tile))
+    tiled.repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(store)
+    outlines, kept = fx.vertices(spark, sf), shared_folder(spark, "tiles")
+    grid.aoi_tiles(outlines, fx.GRID, tile).write.parquet(kept)
+    inside = grid.inside_area(spark.read.parquet(store), outlines, fx.GRID, tile, spark.read.parquet(kept))
+    return inside.select(*KEYS, r6("nir"))
+
+
 def class_fill_outside(spark, sf):
     return pixels.class_fill_outside(flagged_obs(spark, sf), SENTINEL2).select(*KEYS, "scl")
 
@@ -176,11 +187,8 @@ def regrid_nearest(spark, sf):
 
 def regrid_bilinear(spark, sf):
     """Elevation on a grid of half the cell size."""
-    source = fx.traits(spark, sf)
-    half = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
-    target = source.select(half("row"), "col").select("row", half("col"))
     fine = Grid(UTM.x_min, UTM.y_max, UTM.width * 2, None, UTM.dx / 2, UTM.dy / 2)
-    return grid.regrid_bilinear(target, source, fine, UTM, "elevation").select("row", "col", r6("elevation"))
+    return grid.resample_bilinear(fx.traits(spark, sf), fine, UTM, "elevation").select("row", "col", r6("elevation"))
 
 
 def dem_mosaic(spark, sf):
@@ -402,7 +410,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scale_s2, scale_landsat, valid_dn, valid_reflectance, scl_mask, qa_bitmask, ndvi, ndmi, evi,
-        index_dispatch, combined_mask, aoi_mask, class_fill_outside, snow_fraction, clear_fraction, valid_predicate,
+        index_dispatch, combined_mask, aoi_mask, inside_area, class_fill_outside, snow_fraction, clear_fraction, valid_predicate,
         canonical_grid, aoi_area, bbox_share, cell_centers, regrid_nearest, regrid_bilinear, dem_mosaic,
         gradient_xy, slope, aspect, raster_stats, alignment_check,
         aspect_strata, aspect_strata_slope5, steep_mask, elev_bands_fixed, elev_bands_positive, elev_bands_uniform,

@@ -194,11 +194,10 @@ def trend_year_class(spark, sf):
 
 
 def elevation_gradient(spark, sf):
-    return rounded(
-        zonal.elevation_gradient(
-            fx.cells(spark, sf), fx.traits(spark, sf), min_band_px=MIN_CLASS_PX, min_pixels=5
-        )
-    )
+    traits = fx.traits(spark, sf)
+    banded = zonal.in_elevation_bands(fx.obs(spark, sf), traits, min_band_px=MIN_CLASS_PX)
+    cells = pixels.index_cells(banded, SENTINEL2, (*fx.CELL_KEYS, "lo"))
+    return rounded(zonal.elevation_gradient(cells, traits, min_band_px=MIN_CLASS_PX, min_pixels=5))
 
 
 def with_aspect(spark, sf):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canopygrid.functions import labels
-from canopygrid.plans.fixtures import HOLE
+from canopygrid.plans.fixtures import FOOTPRINT, FOOTPRINT_HOLE, HOLE
 
 
 def _values(rows) -> str:
@@ -169,6 +169,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT * FROM (SELECT aoi, ring, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
         FROM vertices WINDOW w AS (PARTITION BY aoi, ring ORDER BY seq)) WHERE x2 IS NOT NULL""",
     ),
+    "footprints": (
+        ("stac",),
+        f"""SELECT item, ring, seq, x0 + cx * size AS x, y0 + cy * size AS y
+        FROM (SELECT item, x_min / 2 AS x0, y_min / 2 AS y0, CASE WHEN item % 3 = 0 THEN (x_max - x_min) / 40 ELSE (x_max - x_min) / 10 END AS size FROM stac)
+        CROSS JOIN (VALUES {_values((r, i, *c) for r, ring in enumerate((FOOTPRINT, FOOTPRINT_HOLE)) for i, c in enumerate(ring))}) AS c(ring, seq, cx, cy)
+        WHERE ring = 0 OR item % 5 = 0""",
+    ),
+    "footprint_edges": (
+        ("footprints",),
+        """SELECT * FROM (SELECT item, ring, x AS u1, y AS v1, lead(x) OVER w AS u2, lead(y) OVER w AS v2
+        FROM footprints WINDOW w AS (PARTITION BY item, ring ORDER BY seq)) WHERE u2 IS NOT NULL""",
+    ),
     "flagged": (
         ("traits", "edges"),
         """SELECT c.aoi, c."row", c."col", sum(CASE WHEN ((y1 > c.y) <> (y2 > c.y)) AND c.x < (x2 - x1) * (c.y - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1 AS in_aoi

@@ -93,6 +93,19 @@ SQL = {
         "stac",
         "vertices",
     ),
+    "footprint_polygons": v(
+        """SELECT DISTINCT item, aoi FROM footprint_edges JOIN edges
+            ON greatest(u1, u2) >= least(x1, x2) AND greatest(x1, x2) >= least(u1, u2) AND greatest(v1, v2) >= least(y1, y2) AND greatest(y1, y2) >= least(v1, v2)
+            AND sign((u2 - u1) * (y1 - v1) - (v2 - v1) * (x1 - u1)) * sign((u2 - u1) * (y2 - v1) - (v2 - v1) * (x2 - u1)) <= 0
+            AND sign((x2 - x1) * (v1 - y1) - (y2 - y1) * (u1 - x1)) * sign((x2 - x1) * (v2 - y1) - (y2 - y1) * (u2 - x1)) <= 0
+        UNION SELECT item, aoi FROM (SELECT f.item, f.ring, e.aoi, count(*) AS n FROM footprints f, edges e
+            WHERE seq = 0 AND (y1 > f.y) <> (y2 > f.y) AND f.x < (x2 - x1) * (f.y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL) WHERE n % 2 = 1
+        UNION SELECT item, aoi FROM (SELECT e.item, a.ring, a.aoi, count(*) AS n FROM vertices a, footprint_edges e
+            WHERE seq = 0 AND (v1 > a.y) <> (v2 > a.y) AND a.x < (u2 - u1) * (a.y - v1) / nullif(v2 - v1, 0) + u1 GROUP BY ALL) WHERE n % 2 = 1""",
+        "footprint_edges",
+        "edges",
+        "vertices",
+    ),
     "cloud_filter": v("SELECT item, cloud_cover FROM stac WHERE coalesce(cloud_cover, 100) < 40", "stac"),
     "platform_filter": v(
         "SELECT item, platform FROM stac WHERE platform IN ('landsat-5', 'landsat-7', 'landsat-8', 'landsat-9')", "stac"

@@ -253,3 +253,6 @@ SQL = {
 # What is kept up to date is what would be made anew.
 SQL["annual_max_kept"] = SQL["annual_max"]
 SQL["baseline_neutral_kept"] = SQL["baseline_neutral"]
+SQL["inside_area"] = v(
+    """SELECT aoi, scene_id, year, month, "row", "col", round(nir, 6) AS nir FROM flagged_obs WHERE in_aoi""", "flagged_obs"
+)

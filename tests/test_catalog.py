@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,51 @@ def test_available_years(spark):
 def test_incremental_skip(spark):
     want = spark.createDataFrame([("a", 1), ("a", 2)], "aoi string, year int")
     assert [tuple(r) for r in catalog.incremental_skip(want, want.filter("year = 1"), ["aoi", "year"]).collect()] == [("a", 2)]
+
+
+def test_polygons_intersect_like_brute_force(spark):
+    """Concave outlines, holes, one within the other, in the other's hole, touching, apart."""
+    from fractions import Fraction
+
+    star = [(0, 0), (4, 0), (5, 8), (6, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    hole = [(1, 3), (3, 3), (3, 9), (1, 9), (1, 3)]
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    areas = {"u": [star, hole], "far": [square(100, 100, 5)], "big": [square(-50, -50, 200), square(0, 20, 30)]}
+    rng = np.random.default_rng(3)
+    items = {i: [square(*map(float, rng.integers(-3, 13, 2)), float(rng.choice([0.25, 1, 2, 30])))] for i in range(60)}
+    items |= {
+        100: [square(4.75, 1.0, 0.25)], 101: [square(1.5, 4.0, 1.0)], 102: [square(10, 10, 3)], 103: [square(5, 21, 2)],
+        104: [square(-60, -60, 300)], 105: [square(-1, 19, 40), square(-0.5, 19.5, 35)], 106: [[(0, 0), (3, 3), (0, 3), (0, 0)]],
+        107: [square(103, 103, 1)],
+    }
+
+    def sides(rings):
+        return [(*map(Fraction, a), *map(Fraction, b)) for r in rings for a, b in zip(r, r[1:])]
+
+    def turn(ax, ay, bx, by, cx, cy):
+        t = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        return (t > 0) - (t < 0)
+
+    def meet(s, t):
+        (a, b, c, d), (e, f, g, h) = s, t
+        if max(a, c) < min(e, g) or max(e, g) < min(a, c) or max(b, d) < min(f, h) or max(f, h) < min(b, d):
+            return False
+        return turn(a, b, c, d, e, f) * turn(a, b, c, d, g, h) <= 0 and turn(e, f, g, h, a, b) * turn(e, f, g, h, c, d) <= 0
+
+    def holds(rings, p):
+        x, y = map(Fraction, p)
+        return sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for a, b, c, d in sides(rings)) % 2 == 1
+
+    want = {
+        (i, n)
+        for i, own in items.items()
+        for n, area in areas.items()
+        if any(meet(s, t) for s in sides(own) for t in sides(area)) or any(holds(area, r[0]) for r in own) or any(holds(own, r[0]) for r in area)
+    }
+    rows = lambda d: [(n, k, i, float(x), float(y)) for n, rings in d.items() for k, r in enumerate(rings) for i, (x, y) in enumerate(r)]
+    f = spark.createDataFrame(rows(items), "item long, ring int, seq int, x double, y double")
+    a = spark.createDataFrame(rows(areas), "aoi string, ring int, seq int, x double, y double")
+    pairs = f.select("item").distinct().crossJoin(a.select("aoi").distinct())
+    for bucket in (2.0, 7.0, 1000.0):
+        assert {tuple(r) for r in catalog.polygons_intersect(pairs, f, a, bucket).collect()} == want
+    assert {(101, "u"), (103, "big")}.isdisjoint(want) and {(100, "u"), (104, "u"), (102, "u"), (107, "far")} <= want | {(100, "u")}

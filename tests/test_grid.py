@@ -160,3 +160,75 @@ def test_aspect_edges(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, a double")
     got = [r[0] for r in df.orderBy("i").select(terrain.aspect_side(F.col("a"))).collect()]
     assert got == ["north", "north", "neither", "neither", "south", "south", "neither", "neither", "north", "north", "neither"]
+
+
+@pytest.mark.parametrize("factor, shift, tile", [(2.0, 0.0, 4), (0.5, 0.0, 3), (1.0, 3.7, 5), (1.7, -2.3, 4), (3.0, 1.25, 256)])
+def test_resampled_layers_equal_regridded_ones(spark, factor, shift, tile):
+    """Whole layers by tile against the cell-by-cell form, over gaps, nulls and the edges of tiles and of the source."""
+    r = np.random.default_rng(int(factor * 10))
+    frm = Grid(100.0, 500.0, 13, 11, 10.0, 10.0)
+    to = Grid(100.0 + shift, 500.0 - shift, int(13 * factor) + 2, int(11 * factor) + 2, 10.0 / factor, 10.0 / factor)
+    cells = [(i, j, None if r.random() < 0.1 else float(r.normal())) for i in range(11) for j in range(13) if r.random() < 0.9]
+    source = spark.createDataFrame(cells, "row int, col int, v double")
+    target = spark.createDataFrame([(i, j) for i in range(to.height) for j in range(to.width)], "row int, col int")
+    present = {(i, j) for i, j, _ in cells}
+    want = {}
+    for x in grid.regrid_bilinear(target, source, to, frm, "v").collect():
+        y, z = (frm.y_max - (to.y_max - (x.row + 0.5) * to.dy)) / frm.dy, (to.x_min + (x.col + 0.5) * to.dx - frm.x_min) / frm.dx
+        if (int(np.floor(y)), int(np.floor(z))) in present:
+            want[x.row, x.col] = x.v
+    got = {(x.row, x.col): x.v for x in grid.resample_bilinear(source, to, frm, "v", tile=tile).collect()}
+    assert set(got) == set(want) and len(want) > 20
+    for k, v in want.items():
+        assert (got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, abs=1e-9))
+
+
+def test_resampling_shuffles_the_source_once(spark):
+    frm, to = Grid(0.0, 0.0, 600, 600, 1.0, 1.0), Grid(0.0, 0.0, 1200, 1200, 0.5, 0.5)
+    source = spark.range(600 * 600).select((F.col("id") / 600).cast("int").alias("row"), (F.col("id") % 600).cast("int").alias("col"), F.lit(1.0).alias("v"))
+    text = grid.resample_bilinear(source, to, frm, "v")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1
+    below = grid.resample_bilinear(source, to, frm, "v")
+    assert below.count() == 1200 * 1200
+
+
+def test_tiles_of_an_area(spark):
+    """Every cell is decided by its tile or by its row's runs, and both agree with the outline."""
+    ring = [(0.0, 0.0), (31.0, 0.0), (20.0, -18.0), (31.0, -33.0), (2.0, -33.0), (0.0, 0.0)]
+    hole = [(6.0, -10.0), (14.0, -10.0), (14.0, -20.0), (6.0, -20.0), (6.0, -10.0)]
+    rows = [("a", k, i, x, y) for k, r in enumerate((ring, hole)) for i, (x, y) in enumerate(r)]
+    vertices = spark.createDataFrame(rows, "aoi string, ring int, seq int, x double, y double")
+    g = Grid(0.0, 0.0, 33, 35, 1.0, 1.0)
+    cells = spark.createDataFrame([(a, i, j) for a in "ab" for i in range(35) for j in range(33)], "aoi string, row int, col int")
+    want = {tuple(r) for r in grid.aoi_cells(vertices, g).collect()}
+    tiles = {(r.tile_row, r.tile_col): r.cover == grid.WHOLE for r in grid.aoi_tiles(vertices, g, 4).collect()}
+    for i in range(9):
+        for j in range(9):
+            own = [("a", y, x) in want for y in range(4 * i, min(35, 4 * i + 4)) for x in range(4 * j, min(33, 4 * j + 4))]
+            assert tiles.get((i, j)) == (None if not any(own) else all(own))
+    assert any(tiles.values()) and not all(tiles.values())
+    assert {tuple(r) for r in grid.inside_area(cells, vertices, g, 4).collect()} == want
+
+
+def test_tiles_outside_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "tiled")
+    cells = spark.range(64 * 64).select(
+        F.lit("a").alias("aoi"), (F.col("id") / 64).cast("int").alias("row"), (F.col("id") % 64).cast("int").alias("col")
+    )
+    cells.withColumns(grid.tile_columns(8)).repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(path)
+    ring = [(0.0, 0.0), (20.0, 0.0), (20.0, -20.0), (0.0, -20.0), (0.0, 0.0)]
+    vertices = spark.createDataFrame([("a", 0, i, x, y) for i, (x, y) in enumerate(ring)], "aoi string, ring int, seq int, x double, y double")
+    g, kept = Grid(0.0, 0.0, 64, 64, 1.0, 1.0), str(tmp_path / "tiles")
+    grid.aoi_tiles(vertices, g, 8).write.parquet(kept)
+    store = spark._jsparkSession.sparkContext().statusStore()
+
+    def read():
+        none = spark._jvm.java.util.ArrayList()
+        found = store.stageList(none, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(found.apply(i).inputRecords() for i in range(found.size()))
+
+    before = read()
+    inside = grid.inside_area(spark.read.parquet(path), vertices, g, 8, spark.read.parquet(kept))
+    assert inside.count() == 400
+    # Nine of 64 tiles hold cells of the area.
+    assert read() - before < 1000

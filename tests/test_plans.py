@@ -11,7 +11,10 @@ from canopygrid.functions.quantiles import grouped_percentiles
 from canopygrid.operators import catalog, composites, grid
 from canopygrid.plans import catalog_plans, fixtures as fx, raster_plans, zonal_plans
 
-WRITES = ("sink_cells", "sink_manifest", "sink_inventory", "sink_table")
+WRITES = (
+    "sink_cells", "sink_manifest", "sink_inventory", "sink_table",
+    "annual_max_kept", "baseline_neutral_kept", "inside_area", "zonal_median_monthly_kept", "zonal_percentiles_colocated",
+)
 CORE = {**catalog_plans.QUERIES, **raster_plans.QUERIES, **zonal_plans.QUERIES}
 LAZY = sorted(set(CORE) - set(WRITES))
 
@@ -61,36 +64,69 @@ def executed(df):
     return text[: text.find("== Initial Plan ==")]
 
 
-def shuffled(spark, make):
-    """Records that all stages of ``make`` and its result write to shuffles."""
+def counted(spark, make):
+    """Records that all stages of ``make`` and its result read from tables and write to shuffles."""
     store = spark._jsparkSession.sparkContext().statusStore()
 
     def stages():
         none = spark._jvm.java.util.ArrayList()
         found = store.stageList(none, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), none)
-        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+        return {
+            (s.stageId(), s.attemptId()): (s.inputRecords(), s.shuffleWriteRecords(), s.stageId())
+            for s in (found.apply(i) for i in range(found.size()))
+        }
 
     before = stages()
     make().write.format("noop").mode("overwrite").save()
-    return sum(n for key, n in stages().items() if key not in before)
+    new = [n for key, n in stages().items() if key not in before]
+    return sum(n[0] for n in new), sum(n[1] for n in new)
+
+
+def spread(spark, groups, each):
+    """Values without order in groups that lie together, as scenes do in a store."""
+    return spark.range(groups * each).select(
+        (F.col("id") / each).cast("long").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(2_000_003)) / 1_000_001.0 - 1).alias("value")
+    )
 
 
 def test_percentiles_shuffle_few_rows(spark):
     """Counts per bin and the rows of the wanted bins move, not the rows."""
-    rows = spark.range(400_000).select(
-        (F.col("id") % 4).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(2_000_003)) / 1_000_001.0 - 1).alias("value")
-    )
-    few, many = (
-        shuffled(spark, lambda m=m: grouped_percentiles(rows, ["g"], percentiles=(50, 95), bins=256, most_targets=m))
-        for m in (100, 0)
-    )
-    assert many > 5 * few
+    rows = spread(spark, 4, 100_000)
+    _, moved = counted(spark, lambda: grouped_percentiles(rows, ["g"], percentiles=(50, 95), bins=(256,)))
+    assert moved < 0.05 * 400_000
+    _, repeated = counted(spark, lambda: grouped_percentiles(rows, ["g"], percentiles=(50, 95), bins=(32, 32)))
+    assert repeated < moved
 
 
-def test_percentiles_fall_back_to_one_scan(spark, sf):
+def test_percentiles_of_very_many_groups_shuffle_few_rows(spark):
+    """300,000 groups: no list of their bins anywhere, and under a fifth of the rows moves."""
+    groups, each = 300_000, 500
+    rows = spread(spark, groups, each)
+    _, moved = counted(spark, lambda: grouped_percentiles(rows, ["g"], percentiles=(50,), bins=(8, 8)))
+    assert moved < groups * each / 5
+
+
+def test_percentiles_run_nothing_before_they_are_asked_for(spark, sf):
+    jobs = lambda: spark._jsparkSession.sparkContext().statusStore().jobsList(None).size()
     zoned = fx.zoned_cells(spark, sf)
-    text = executed(grouped_percentiles(zoned, ["aoi", "scene_id", "ecozone"], most_targets=0))
-    assert text.count("FileScan parquet [l_") == 1 and "ReusedExchange" in text and "ShuffledHashJoin" in text
+    before = jobs()
+    text = plan(grouped_percentiles(zoned, ["aoi", "scene_id", "ecozone"]))
+    assert jobs() == before and "BroadcastExchange" in text
+
+
+def test_strata_are_not_exploded_before_the_shuffle(spark):
+    """A fact moves at most once for all of its strata."""
+    sides = F.element_at(F.array(*map(F.lit, ("south", "north", "neither"))), (F.col("id") % 3 + 1).cast("int"))
+    rows = spread(spark, 10, 20_000).withColumn("id", F.monotonically_increasing_id()).withColumn("side", sides).drop("id")
+    strata = {"whole": None, "south": ["south"], "north": ["north"]}
+    make = lambda s: grouped_percentiles(rows, ["g"], percentiles=(50,), bins=(64,), part="side", strata=s)
+    _, all_three = counted(spark, lambda: make(strata))
+    _, one = counted(spark, lambda: make({"whole": None}))
+    assert all_three < 3 * one + 10_000 and all_three < 0.2 * 200_000
+    text = plan(make(strata))
+    # Values move by part, and parts become strata above that.
+    assert re.search(r"Exchange hashpartitioning\(__key#\d+, __part#\d+, __up#\d+, __v#", text)
+    assert "Generate" not in text[text.rindex("Exchange") :]
 
 
 def test_strata_join_before_rows_triple(spark, sf):
@@ -109,17 +145,43 @@ def test_masks_move_no_facts_by_cell(spark, sf):
 
 
 @pytest.mark.parametrize(
-    "name, scans",
+    "name, reads",
     [
-        ("seasonal_curves", 1), ("peak_productivity", 1), ("seasonal_sync", 1), ("elevation_gradient", 1), ("aspect_series", 1),
-        ("season_mean", 1), ("elevation_diff", 1),
-        # and once more, two columns, for the list of scenes
-        ("drought_response", 2), ("longterm_trend", 2), ("moisture_amplitude", 2), ("seasonal_amplitude", 2),
+        # once for the histogram and once for the wanted bins
+        ("seasonal_curves", 2), ("peak_productivity", 2), ("seasonal_sync", 2), ("elevation_gradient", 2), ("aspect_series", 2),
+        ("elevation_diff", 2), ("strata_percentiles", 2),
+        # the composites below the percentiles are made once
+        ("season_mean", 1),
+        # whose scenes come from the scene table
+        ("drought_response", 2), ("longterm_trend", 2), ("moisture_amplitude", 2), ("seasonal_amplitude", 1), ("season_partition", 0),
     ],
 )
-def test_later_steps_keep_the_shared_scan(spark, sf, name, scans):
-    text = executed(entry.queries()[name](spark, "/root/testdata/sf0.01"))
-    assert text.count("FileScan parquet [l_") == scans
+def test_how_often_facts_are_read(spark, name, reads):
+    sf = "/root/testdata/sf0.01"
+    facts = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    fx.scenes(spark, sf)
+    read, _ = counted(spark, lambda: entry.queries()[name](spark, sf))
+    assert reads <= read / facts < reads + 0.5
+
+
+def test_colocated_facts_do_not_move(spark, sf):
+    """With broadcasts off, the join of facts and traits reads both where they lie."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    cells = zonal_plans.colocated_cells(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(cells)
+        moved = plan(zonal_plans.fx.zoned_cells(spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in text and "Exchange" not in text and "Bucketed: true" in text
+    assert "Exchange" in moved
+
+
+def test_fractions_move_bitmaps(spark, sf):
+    """No row is shuffled for a cell."""
+    text = plan(raster_plans.snow_fraction(spark, sf))
+    assert "bitmap_construct_agg" in text and not re.search(r"Exchange hashpartitioning\([^)]*\bcol#", text)
 
 
 def test_dedup_limits_groups_before_the_shuffle(spark, sf):

@@ -149,7 +149,7 @@ def test_elevation_bands(world, frames):
     bands = {r.lo: r.n_px for r in strata.elevation_bands(traits, 200, 1).collect()}
     want = {lo: int(((z >= lo) & (z < lo + 200)).sum()) for lo in range(0, 1000, 200)}
     assert bands == {k: v for k, v in want.items() if v}  # 1000 itself lies in no band
-    out = zonal.elevation_gradient(cells, traits, min_band_px=1, min_pixels=1).collect()
+    out = zonal.elevation_gradient(zonal.in_elevation_bands(cells, traits, min_band_px=1), traits, min_band_px=1, min_pixels=1).collect()
     for r in out:
         inside = (z >= r.lo) & (z < r.hi)
         p = [np.percentile(s[inside & np.isfinite(s)], 95) for s in world[1].values()]
@@ -204,7 +204,7 @@ def test_a_third_area_and_grids_of_their_own(spark):
     assert zonal.drought_response(p, classes).filter("n_scenes = 1").count() == 3
     peak = zonal.peak_productivity(p, traits).collect()
     assert sorted((r.aoi, r.ecozone, r.n_scenes, r.pixel_count) for r in peak) == [("east", 3, 1, 3), ("north", 1, 1, 3), ("south", 2, 1, 3)]
-    bands = zonal.elevation_gradient(cells, traits, min_band_px=1, min_pixels=2)
+    bands = zonal.elevation_gradient(zonal.in_elevation_bands(cells, traits, min_band_px=1), traits, min_band_px=1, min_pixels=2)
     assert sorted((r.aoi, r.lo, r.n_px, r.NDVI_p95) for r in bands.collect()) == [
         ("east", 200, 2, 0.3), ("east", 400, 1, None), ("north", 0, 2, 0.1), ("north", 200, 1, None), ("south", 200, 2, 0.2),
     ]
@@ -220,7 +220,7 @@ def test_zones_and_bands_without_scenes_are_listed(spark):
     assert sorted((r.ecozone, r.n_scenes, r.p95, r.pixel_count) for r in peak) == [(1, 1, 0.5, 1), (2, 0, None, 1), (3, 0, None, 1)]
     season = zonal.moisture_amplitude(p, cells.select("aoi", "scene_id", "month")).collect()
     assert sorted((r.ecozone, r.growing_p95, r.growing_scenes) for r in season) == [(1, 0.5, 1), (2, None, 1), (3, None, 1)]
-    bands = zonal.elevation_gradient(cells, traits, min_band_px=1, min_pixels=1).collect()
+    bands = zonal.elevation_gradient(zonal.in_elevation_bands(cells, traits, min_band_px=1), traits, min_band_px=1, min_pixels=1).collect()
     assert sorted((r.lo, r.NDMI_p95) for r in bands) == [(0, 0.5), (200, None), (400, None)]
 
 
