@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +24,33 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted at the end, but for those stored to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     """The rows written to the cluster's shared folder and read back.
 
     Cuts the lineage: a lost executor costs a re-read, not the work so far.
+    Within ``scratch`` the table goes at its end, with ``keep`` at that of the
+    next outer one, if any.
     """
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    open_ones = _scratch[:-1] if keep else _scratch
+    if open_ones:
+        open_ones[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
