@@ -151,17 +151,61 @@ class Mix:
         return F.aggregate(rows, rate, step)
 
 
+# The least part of the tokens that a scarce domain may hold the mix to.
+FLOOR = 0.5
+
+
 def _totals(members: DataFrame, rate: Column, n: int) -> np.ndarray:
     sums = [F.sum(rate * F.col("tokens") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(n)]
     return np.array([x or 0.0 for x in members.agg(*sums).first()])
 
 
-def solve(members: DataFrame, targets: dict[str, float], budget: float | None = None, most: float = 1.0) -> Mix:
+def _reachable(domains: list[str], share: np.ndarray, have: np.ndarray, most: float, floor: float) -> np.ndarray:
+    """Tokens per domain: as many as the scarcest one allows, but for those that would hold the mix below ``floor``.
+
+    Such domains are served with all they have, and the others keep their
+    shares among themselves.
+    """
+    every, scarce = float(have.sum() * min(most, 1.0)), np.zeros(len(share), bool)
+    while True:
+        given = np.where(scarce, have * min(most, 1.0), 0.0)
+        rest, left = np.where(scarce, 0.0, share), every - given.sum()
+        if not rest.sum():
+            return given
+        rest = rest / rest.sum()
+        reach = np.full(len(have), np.inf)
+        some = (rest > 0) & (have > 0)
+        reach[some] = most * have[some] / rest[some]
+        if floor:
+            reach[(rest > 0) & (have <= 0)] = 0.0
+        new = reach < floor * left
+        if not new.any():
+            break
+        warnings.warn(
+            f"mix: {', '.join(repr(domains[i]) for i in np.flatnonzero(new))} would hold the mix below {floor:g} of the tokens "
+            "and gives what it has",
+            stacklevel=3,
+        )
+        scarce |= new
+    budget = min(left, float(reach.min()))
+    if budget < left * (1 - CLOSE):
+        warnings.warn(
+            f"mix: {domains[int(reach.argmin())]!r} holds the mix at {budget / left:.4f} of the tokens, as no rate is above {most:g}",
+            stacklevel=3,
+        )
+    return given + budget * rest
+
+
+def solve(
+    members: DataFrame, targets: dict[str, float], budget: float | None = None, most: float = 1.0, floor: float = 0.0
+) -> Mix:
     """Rates for ``members`` (tokens, p over the targets' domains in their order).
 
     The default budget is the largest that the scarcest domain allows without
     any rate above ``most``, and all tokens at most where ``most`` is above 1; a
-    warning names the domain when it holds the mix below all tokens. A target of
+    warning names the domain when it holds the mix below all tokens. A domain
+    that would hold it below ``floor`` of them, such as one that is missing,
+    gives all it has, and the others keep their shares. A target of
     0 needs nothing; targets are scaled to sum to 1. What cannot be reached is
     missed by as little as can be, and a warning tells the miss. Without tokens
     all rates are the lesser of ``most`` and 1.
@@ -182,18 +226,11 @@ def solve(members: DataFrame, targets: dict[str, float], budget: float | None =
     have = matrix.sum(axis=1)  # posteriors sum to 1
     if not have.sum():
         return Mix(domains, np.zeros(n), min(most, 1.0), most, [])
-    asked = share > 0
     if budget is None:
-        every = float(have.sum() * min(most, 1.0))
-        reach = most * np.divide(have, share, out=np.full(n, np.inf), where=asked & (have > 0))
-        budget = min(every, float(reach.min()))
-        if budget < every * (1 - CLOSE):
-            warnings.warn(
-                f"mix: {domains[int(reach.argmin())]!r} holds the mix at {budget / every:.4f} of the tokens, "
-                f"as no rate is above {most:g}",
-                stacklevel=2,
-            )
-    wanted = budget * share
+        wanted = _reachable(domains, share, have, most, floor)
+        budget = float(wanted.sum())
+    else:
+        wanted = budget * share
     inverse = np.linalg.pinv(matrix, rcond=1e-9, hermitian=True)
     mix = Mix(domains, wanted, min(most, budget / have.sum()), most, [])
     while True:
@@ -262,11 +299,12 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """The rows of ``docs`` in as many copies as the mix gives them; all columns pass through.
 
     Without ``most`` no rate is above 1: rows stay or go by their draw, none is
-    repeated, and a warning tells when a scarce domain makes others go for it.
+    repeated, and a warning tells when a scarce domain makes others go for it;
+    one that would leave less than ``FLOOR`` of the tokens does not.
     """
     targets = targets or TARGETS
     model = fit_domains(sampled_labels(docs, labels, list(targets)), list(targets))
-    mix = solve(stored(memberships(docs, model), "mixing"), targets, **options)
+    mix = solve(stored(memberships(docs, model), "mixing"), targets, **{"floor": FLOOR} | options)
     rows = memberships(carried(docs, "doc_id", "text"), model, ("kept", "doc_id"))
     rows = rows.select("kept", copies(mix.rate(F.col("p")), F.col("doc_id")).alias("copies")).filter("copies > 0")
     if mix.most > 1:

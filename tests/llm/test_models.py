@@ -260,3 +260,24 @@ def test_label_sample_bounds_rows(spark):
     labels = docs.select("doc_id").distinct()
     got = mixing.sampled_labels(docs, labels, ["en", "fr"], 5).collect()
     assert sorted((r.doc_id, r.domain) for r in got) == [(1, "en"), (2, "fr"), (3, "fr"), (4, "fr"), (5, "fr")]
+
+
+def test_a_missing_language_does_not_empty_the_corpus(spark):
+    """Without its scarcest language the corpus stays, the others at their shares."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.filter("lang <> 'de'")
+    with pytest.warns(UserWarning, match="'de' would hold the mix below"):
+        kept = mixing.mixed(docs, labels)
+    kept = kept.select("doc_id", "lang", "text").toPandas()
+    assert 0.5 * 871 < len(kept) < 871
+    words = kept.text.str.split().str.len().groupby(kept.lang).sum()
+    want = {d: x / 0.82 for d, x in mixing.TARGETS.items() if d != "de"}
+    assert (words / words.sum()).to_dict() == pytest.approx(want, abs=0.04)
+
+
+def test_scarce_domain_gives_all_it_has(spark):
+    rows = spark.createDataFrame([(i, 100, [1.0, 0.0] if i else [0.0, 1.0]) for i in range(100)], "doc_id long, tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="'b' would hold"):
+        mix = mixing.solve(rows, {"a": 0.86, "b": 0.14}, floor=0.5)
+    assert mix.wanted.tolist() == pytest.approx([9900, 100])
+    assert rows.filter(mix.rate(F.col("p")) < 0.999).count() == 0
