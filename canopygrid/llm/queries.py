@@ -82,20 +82,21 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op7_top_k": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
     FROM embeddings
     WHERE embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 s AS (
     SELECT
+        q.place,
         q.vec_id AS query_id,
         c.vec_id AS vec_id,
         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
     WHERE q.vec_id % 50 = 0
 ),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """,
     "op11_collocations": r"""

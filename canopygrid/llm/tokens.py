@@ -40,6 +40,9 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        # As loaded, for texts with special tokens written out; and for words without any.
+        self.loaded = Tokenizer.from_file(path)
+        self.special = [a.content.lower().encode() for a in self.loaded.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -76,8 +79,9 @@ class WordEncoder:
 
     The tokenizer lower-cases, and drops white space before it splits, so the
     ids of a text are those of its words in turn; cutting at ASCII white space
-    and lowering A-Z first changes nothing. Special tokens written out in a
-    text are ordinary text.
+    and lowering A-Z first changes nothing. A text in which a special token is
+    written out goes whole through the tokenizer as it was loaded, which makes
+    of it what it makes of it.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -89,7 +93,12 @@ class WordEncoder:
         for text in texts:
             if len(self.known) > self.remembered:
                 self.known.clear()
-            out.append(b"".join(map(self.known.__getitem__, text.lower().split())))
+            low = text.lower()
+            if any(mark in low for mark in self.known.special):
+                whole = self.known.loaded.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
+                out.append(_packed(whole.ids))
+            else:
+                out.append(b"".join(map(self.known.__getitem__, low.split())))
         return out
 
 

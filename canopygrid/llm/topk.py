@@ -139,7 +139,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
     Vectors that are null or hold null or non-finite components take no part,
     nor do rows without an id; vectors of different length are not compared;
     rows with the query's id are not its candidates, and repeated rows count as
-    often as they occur. An empty table gives no row.
+    often as they occur; queries that share an id get a list each. An empty
+    table gives no row.
 
     Every query block meets every candidate block. The candidates stay where
     they are packed; the queries, a stated small part of the table, are copied
@@ -166,14 +167,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
         return pa.table(
             {
                 "query_id": np.repeat(query_ids, [len(s) for _, s, _ in found]),
+                "q_number": np.full(sum(len(s) for _, s, _ in found), one["q_number"], np.int64),
+                "place": np.repeat(np.arange(len(query_ids), dtype=np.int32), [len(s) for _, s, _ in found]),
                 "vec_id": np.concatenate([i for _, i, _ in found]),
                 "score": pa.array([int(x) for _, _, s in found for x in s], pa.int64()),
             }
         )
 
     # The pairs of a candidate block are together already: a group is one pair, and so is what a task holds.
-    best = pairs.groupBy("c_number", "q_number").applyInArrow(search, "query_id long, vec_id long, score long")
-    order = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
+    best = pairs.groupBy("c_number", "q_number").applyInArrow(
+        search, "query_id long, q_number long, place int, vec_id long, score long"
+    )
+    # A list for each query row, also where rows share an id.
+    order = "row_number() OVER (PARTITION BY q_number, place ORDER BY score DESC, vec_id)"
     return best.withColumn("rank", F.expr(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -14,7 +14,7 @@ from canopygrid.llm import packing, tokenfiles, tokens
 
 HARD = [
     "", " \t\n\x0b\x0c\r ", "It's we're A'b don't's 'S 'ss x' 'll", "\x1c q\x1fr\x85s\xa0t u", "İstanbul ΣΑΣ ﬁ é K å Å",
-    "12,345.67 a.b,c ... !! ?!,", "<|endoftext|> <|STARTOFTEXT|>", "你好,世界. ½² Ünïcödé, ÀÉ. ª º ŉ ǅ ß", "naïve... été!? ö;",
+    "12,345.67 a.b,c ... !! ?!,", "<|endoftext|> <|STARTOFTEXT|>", "x <|endoftext|> Y", "a<|startoftext|>b <|endoftext", "你好,世界. ½² Ünïcödé, ÀÉ. ª º ŉ ǅ ß", "naïve... été!? ö;",
     "a" * 5000 + ".", "😀 é ́x", "word " * 3000, "\x00 \x7f \xad​",
 ]
 
@@ -22,7 +22,6 @@ HARD = [
 @pytest.fixture(scope="module")
 def direct():
     tokenizer = Tokenizer.from_file(tokens.vocabulary_path())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 

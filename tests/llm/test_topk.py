@@ -54,6 +54,25 @@ def test_numbers_beyond_floating_point(spark):
     assert run(spark, rows) == brute(rows, 5)
 
 
+def test_queries_that_share_an_id_have_a_list_each(spark):
+    import duckdb
+
+    from canopygrid.llm.queries import SQL
+
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(0, 1, 6).round(3).tolist()) for i in (50, 50, 50, *range(1, 40))]
+    want = []
+    for q, a in rows[:3]:
+        fixed = lambda v: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]
+        scored = sorted((-sum(x * y for x, y in zip(fixed(a), fixed(b))), c) for c, b in rows if c != q)
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(scored[:5], 1)]
+    assert run(spark, rows) == sorted(want)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({SQL['op7_top_k']})").fetchall()) == sorted(want)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
