@@ -250,8 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(features, f"doc_id {kind}, quality int, x binary").orderBy("doc_id", "quality", "x")
-    found = found.limit(2 * sample).collect()
+    found = texts.mapInArrow(features, f"doc_id {kind}, quality int, x binary")
+    # One row for each of the labels, however often the table of documents repeats an id.
+    found = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id", "quality").collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(-1, 3 * DIMENSIONS)
     return QualityModel(words, fit_network(x, np.array([float(r.quality == 1) for r in found])))
 

@@ -2,7 +2,7 @@
 
 Two first-order models over characters tell random strings from ordinary
 identifiers: one learned from the values that the rules find, the other from
-the words of documents in which they find nothing. A string scores the sum of
+the words of all documents that no rule might concern. A string scores the sum of
 the logarithms of its transitions' likelihood ratios; above the threshold it is
 a span of kind ``random``. SQL functions throughout; what reaches the driver is
 one count per pair of characters.
@@ -11,6 +11,7 @@ one count per pair of characters.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 STRING = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 # Ordinary words: runs too short to be looked at themselves, so that no unknown secret teaches.
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,15}+(?![A-Za-z0-9+/_=-])"
+NAMED = "(?i:password|passwd|secret|token|api_?key)"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-# Documents without a rule's match whose words teach what is ordinary: at most those with the smallest hashed ids.
-ORDINARY = 3000
 # A string is reported when random is so many times likelier, in logarithms: one in ten thousand strings is.
 THRESHOLD = math.log(10_000)
 # Identifiers are joined by these; steps to and from them tell nothing.
@@ -39,17 +39,20 @@ COVER = "[SECRET]"
 
 
 def scanned(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``kept``, base spans and candidate strings of every row."""
-    text = F.col("text")
+    """Columns ``kept``, base spans and candidate strings of every row.
+
+    Strings are looked for in what the base spans leave: a longer one around a
+    base span gives the parts on its sides.
+    """
+    text = F.col("_text")
     assign = F.filter(
-        located(text, ASSIGN, text.rlike("(?i:password|passwd|secret|token|api_?key)")),
-        lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 8,
+        located(text, ASSIGN, text.rlike(NAMED)), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 8
     )
     parts = {
         0: (assign, lambda m: F.regexp_extract(m, ASSIGN, 2)),
         1: (located(text, ACCESS, text.contains("AKIA")), lambda m: m),
         2: (located(text, HEX), lambda m: m),
-        3: (located(text, STRING), lambda m: m),
+        3: (located(F.col("_left"), STRING), lambda m: m),
     }
 
     def spans(kind: int) -> Column:
@@ -59,12 +62,30 @@ def scanned(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             lambda m: F.struct(m["start"], F.lit(kind).alias("kind"), m["end"], secret(m["match"]).alias("value")),
         )
 
-    rows = docs.select(*kept, *[spans(k).alias(f"_s{k}") for k in KINDS])
-    rows = rows.select(*kept, F.concat("_s0", "_s1", "_s2").alias("base"), F.col("_s3").alias("strings"))
-    free = F.filter(
-        "strings", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
-    return rows.select(*kept, "base", free.alias("strings"))
+    rows = docs.select(*kept, F.col("text").alias("_text"))
+    rows = rows.select(*kept, "_text", *[spans(k).alias(f"_s{k}") for k in range(3)])
+    rows = rows.select(*kept, "_text", F.concat("_s0", "_s1", "_s2").alias("base"))
+    blank = lambda at, s: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(at, s["start"])))
+    rows = rows.select(*kept, "base", replaced(text, F.col("base"), blank).alias("_left"))
+    return rows.select(*kept, "base", spans(3).alias("strings"))
+
+
+def replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """The text with each span replaced by ``mark`` of where the spans before it end, and the span."""
+    kind = "struct<at:int,out:array<string>>"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+
+    def step(done: Column, s: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), s["start"] - done["at"]))
+        out = F.concat(done["out"], F.array(gap, mark(done["at"], s)))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out")).cast(kind)
+
+    def end(done: Column) -> Column:
+        rest = F.substring(text, done["at"] + 1, F.length(text))
+        return F.array_join(F.concat(done["out"], F.array(rest)), "")
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, end))
 
 
 def _letter(text: Column, at: Column) -> Column:
@@ -82,9 +103,9 @@ def _steps(text: Column) -> Column:
 
 
 def _counted(strings: DataFrame) -> dict[int, int]:
-    """Transitions of all strings (``value``) by number: at most the square of the alphabet."""
-    steps = strings.select(F.explode(_steps(F.col("value"))).alias("step"))
-    return dict(steps.groupBy("step").count().collect())
+    """Transitions of all strings (``value``, ``n`` times) by number: at most the square of the alphabet."""
+    steps = strings.select(F.explode(_steps(F.col("value"))).alias("step"), "n")
+    return dict(steps.groupBy("step").agg(F.sum("n")).collect())
 
 
 def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
@@ -112,14 +133,14 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
     ]
 
 
-def train(docs: DataFrame, found: DataFrame, sample: int = ORDINARY) -> list[float]:
-    """Log-ratios learned from the scanned documents ``found`` and words of ``docs``."""
+def train(docs: DataFrame, found: DataFrame) -> list[float]:
+    """Log-ratios learned from the base spans of ``found`` and the words of all ``docs`` that no rule might concern."""
     secrets = found.select(F.explode("base").alias("s")).select("s.value").filter("value <> ''").distinct()
-    clean = found.filter(F.size("base") == 0).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    words = docs.join(F.broadcast(clean), "doc_id", "left_semi").select(
-        F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value")
-    )
-    return log_ratios(_counted(secrets), _counted(words))
+    text = F.col("text")
+    concerned = (text.rlike(NAMED) & text.rlike(ASSIGN)) | text.contains("AKIA") | text.rlike(HEX)
+    words = docs.filter(~concerned).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
+    words = words.groupBy("value").agg(F.count("*").alias("n"))
+    return log_ratios(_counted(secrets.withColumn("n", F.lit(1))), _counted(words))
 
 
 def _score(text: Column, ratios: list[float]) -> Column:
@@ -156,20 +177,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def covered(text: Column, spans: Column, cover: str = COVER) -> Column:
     """The text with its spans replaced; overlapping spans are covered as one."""
-    kind = "struct<at:int,out:string>"
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
-
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), s["start"] - done["at"]))
-        mark = F.when((s["start"] < done["at"]) & (done["at"] > 0), F.lit("")).otherwise(F.lit(cover))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], gap, mark).alias("out")
-        ).cast(kind)
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind)
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(ordered, start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    )
+    return replaced(text, spans, lambda at, s: F.when((s["start"] < at) & (at > 0), F.lit("")).otherwise(F.lit(cover)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -281,3 +281,20 @@ def test_scarce_domain_gives_all_it_has(spark):
         mix = mixing.solve(rows, {"a": 0.86, "b": 0.14}, floor=0.5)
     assert mix.wanted.tolist() == pytest.approx([9900, 100])
     assert rows.filter(mix.rate(F.col("p")) < 0.999).count() == 0
+
+
+def test_one_row_teaches_for_a_repeated_labelled_id(spark):
+    """A labelled id on most rows counts once, and no label is left out for it."""
+    good, bad = "plain words in a row", "zz qq zz qq zz"
+    rows = [(i, good if i % 2 else bad) for i in range(40)] + [(0, bad)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.fit(docs.dropDuplicates(), labels, sample=40)
+    seen = []
+    network = quality.fit_network
+    try:
+        quality.fit_network = lambda x, y: seen.append(y) or network(x, y)
+        quality.fit(docs, labels, sample=40)
+    finally:
+        quality.fit_network = network
+    assert len(seen[0]) == 40 and sum(seen[0]) == 20 and once is not None

@@ -142,6 +142,23 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert not any(found[200 + i] for i in range(40)) and not any(found[i] for i in range(1, 120, 2))
 
 
+def test_random_strings_around_a_base_span(spark):
+    """What a rule leaves of a longer string is looked at on both sides; runs too short to judge stay."""
+    r = random.Random(3)
+    letters = "GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz"
+    part = lambda n: "".join(r.choices(letters, k=n))
+    key = part(32) + f"{r.getrandbits(128):032x}" + part(32)
+    rows = [(i, "the word of a line and another one then") for i in range(50)]
+    rows += [(100, f"é {key} end"), (101, f"é {part(8)}{r.getrandbits(128):032x} end"), (102, f"x AKIA{'A1' * 6}{part(32).lower()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.report(docs).collect()}
+    assert got[100] == "random:2:34,hex:34:66,random:66:98"
+    assert got[101] == "hex:10:42"
+    assert got[102] == "access:2:18,random:18:50"
+    texts = {x.doc_id: x.text for x in secrets.redacted(docs).collect()}
+    assert texts[100] == "é [SECRET][SECRET][SECRET] end"
+
+
 def test_nothing_learned_adds_nothing():
     assert set(secrets.log_ratios({5: 3}, {})) == {0.0}
     ratios = secrets.log_ratios({}, {70: 10})
