@@ -298,3 +298,23 @@ def test_one_row_teaches_for_a_repeated_labelled_id(spark):
     finally:
         quality.fit_network = network
     assert len(seen[0]) == 40 and sum(seen[0]) == 20 and once is not None
+
+
+def test_more_languages_than_one_matrix_holds(spark):
+    """Blocks of languages give what one matrix of all gives; 600 languages are no error."""
+    r = random.Random(8)
+    words = {f"l{i:03d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for i in range(600)}
+    rows = [(i, " ".join(r.choices(words[lang], k=12)), lang) for i, lang in enumerate(words)]
+    rows += [(1000, None, None), (1001, "", None), (1002, "12 3", None), (5, rows[5][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    few = docs.filter("lang IS NULL OR lang < 'l020'")
+    one = langid.predict(few, langid.fit(few)).collect()
+    model = langid.fit(few, most=3)
+    assert isinstance(model, langid.LanguageBlocks) and [len(m.languages) for m in model.models()] == [3] * 6 + [2]
+    blocks = langid.predict(few, model).collect()
+    key = lambda x: (x.doc_id, x.lang_pred)
+    for a, b in zip(sorted(one, key=key), sorted(blocks, key=key), strict=True):
+        assert (a.doc_id, a.lang_pred) == (b.doc_id, b.lang_pred) and abs(a.score - b.score) < 1e-6
+    got = {x.doc_id: x for x in langid.predict(docs, langid.fit(docs)).collect()}
+    assert sum(got[i].lang_pred == rows[i][2] for i in range(600)) > 570
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002))
