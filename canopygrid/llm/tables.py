@@ -24,9 +24,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# Texts and sets differ much in size: batches for Python end at so many bytes, whatever their rows.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _scratch: list[list[str]] = []
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches that go to Python within are bounded in bytes; a smaller bound that is set stays."""
+    before = spark.conf.get(BATCH_CONF, None)
+    if before and before.isdigit() and int(before) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_CONF)
+        else:
+            spark.conf.set(BATCH_CONF, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored within are deleted at the end, but for those stored to be kept."""
@@ -47,7 +67,8 @@ def stored(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     next outer one, if any.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     open_ones = _scratch[:-1] if keep else _scratch
     if open_ones:
         open_ones[-1].append(path)
