@@ -41,8 +41,9 @@ def extend_composites(
 
     ``store`` holds scene cells by aoi, year and scene_id as partitions, of
     which those of new scenes alone are read. The highest value per cell of a
-    batch of scenes is written as a part of its own, by tile; nothing kept is
-    read or rewritten. Returns the number of scenes taken in.
+    batch of scenes is written as a part of its own, a file for each area and
+    period unless it is large, sorted by tile; nothing kept is read or
+    rewritten. Returns the number of scenes taken in.
     """
     spark, taken = store.sparkSession, 0
     keys = ["aoi", "year", "scene_id"]
@@ -56,11 +57,12 @@ def extend_composites(
         names = spark.createDataFrame(rows, new.schema)
         cells = store.filter(_either([r.scene_id for r in rows], "scene_id") & _either([r.year for r in rows], "year"))
         cells = cells.filter(_either([r.aoi for r in rows], "aoi")).join(F.broadcast(names), keys, "left_semi")
-        part = uuid.uuid4().hex
-        highest = max_composite(cells, period).withColumn(
-            "tile", F.concat_ws("_", *[F.floor(F.col(c) / tile).cast("string") for c in CELL])
-        )
-        highest.write.partitionBy("aoi", *period, "tile").parquet(f"{path}/parts/{part}")
+        part = f"batches/{uuid.uuid4().hex}"
+        layers = ["aoi", *period]
+        # A directory per tile would be as many files as the grid has tiles, each batch anew.
+        highest = max_composite(cells, period).hint("rebalance", *layers)
+        highest = highest.sortWithinPartitions(*layers, *[F.floor(F.col(c) / tile) for c in CELL], *CELL)
+        highest.write.partitionBy(*layers).parquet(f"{path}/{part}")
         now = names.withColumn("part", F.lit(part))
         versions.publish(spark, f"{path}/scenes", (now if known is None else known.unionByName(now)).write.parquet)
         taken += len(rows)
@@ -77,27 +79,28 @@ def kept_composites(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     # A row per part, of which every compaction leaves one.
     parts = sorted(r.part for r in known.select("part").distinct().collect())
-    made = [spark.read.parquet(f"{path}/parts/{p}") for p in parts]
+    made = [spark.read.parquet(f"{path}/{p}" if "/" in p else f"{path}/parts/{p}").drop("tile") for p in parts]
     if len(made) == 1:
-        return made[0].drop("tile")
+        return made[0]
     union = made[0]
     for other in made[1:]:
         union = union.unionByName(other)
     keys = [c for c in union.columns if c != "value"]
-    return union.groupBy(*keys).agg(F.max("value").alias("value")).drop("tile")
+    return union.groupBy(*keys).agg(F.max("value").alias("value"))
 
 
 def compact(spark: SparkSession, path: str, *, tile: int = TILE) -> None:
-    """One part in place of many. The parts it is made from stay for readers of the version before, until the next time."""
+    """One part in place of many, by tile. The parts it is made from stay for readers of the version before, until the next time."""
     known = _known(spark, f"{path}/scenes")
     if known is None:
         return
-    part = uuid.uuid4().hex
+    part = f"parts/{uuid.uuid4().hex}"
     whole = kept_composites(spark, path).withColumn(
         "tile", F.concat_ws("_", *[F.floor(F.col(c) / tile).cast("string") for c in CELL])
     )
     period = [c for c in whole.columns if c not in (*LAYER, *CELL, "value", "tile")]
-    whole.write.partitionBy("aoi", *period, "tile").parquet(f"{path}/parts/{part}")
+    whole = whole.hint("rebalance", "aoi", *period, "tile")
+    whole.write.partitionBy("aoi", *period, "tile").parquet(f"{path}/{part}")
     versions.publish(spark, f"{path}/scenes", known.withColumn("part", F.lit(part)).write.parquet)
 
 

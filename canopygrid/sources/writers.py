@@ -35,8 +35,8 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 def write_cells(cells: DataFrame, path: str, *, mode: str = "overwrite", tile: int = TILE) -> None:
     """Cell store clustered by storage tile: composites by series and year, scene cells by scene too.
 
-    Rows are rebalanced on (partition, tile): large partitions are split over
-    several tasks and small ones share one. The composites of a year or month,
+    Rows are rebalanced on the partition and sorted by tile: large partitions
+    are split over several tasks, small ones share one and are a file each. The composites of a year or month,
     or the scenes, that ``cells`` has are replaced; all others stay.
     """
     parts = store_partitions(cells)
@@ -47,7 +47,7 @@ def write_cells(cells: DataFrame, path: str, *, mode: str = "overwrite", tile: i
         }
     )
     (
-        tiled.hint("rebalance", *parts, "tile_row", "tile_col")
+        tiled.hint("rebalance", *parts)
         .sortWithinPartitions(*parts, "tile_row", "tile_col", "row", "col")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")

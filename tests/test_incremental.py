@@ -79,6 +79,20 @@ def test_composites_take_in_new_scenes_only(spark, store, tmp_path):
     assert tiles == {"tile=0_0", "tile=0_1", "tile=1_0", "tile=1_1"}
 
 
+def test_files_do_not_grow_with_tiles_and_tasks(spark, store, tmp_path):
+    path, add = store
+    rows = made_scenes(1)
+    add(rows)
+    scene_files = [p.parent for p in (tmp_path / "store").rglob("*.parquet")]
+    assert len(scene_files) == len(set(scene_files))
+    cells = spark.read.parquet(path)
+    state = str(tmp_path / "composites")
+    incremental.extend_composites(cells, cells.select("aoi", "year", "scene_id").distinct(), state, tile=1)
+    layers = {(r[0], r[3]) for r in rows}
+    assert len(list((tmp_path / "composites" / "batches").rglob("*.parquet"))) == len(layers)
+    assert rows_of(incremental.kept_composites(spark, state)) == rows_of(composites.max_composite(spark.createDataFrame(rows, FIELDS)))
+
+
 def test_composites_by_month_and_a_failed_run(spark, store, tmp_path, monkeypatch):
     path, add = store
     state = str(tmp_path / "composites")
