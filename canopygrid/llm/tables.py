@@ -15,9 +15,15 @@ from canopygrid.session import shared_folder
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# Python workers live through all stages: what they free goes back to the machine.
+FREED = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table; Python workers on this machine can import the library wherever the session was started."""
     environment = spark.sparkContext.environment
+    for variable, value in FREED.items():
+        environment.setdefault(variable, value)
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
