@@ -32,8 +32,9 @@ def zonal_percentiles(spark, sf):
 
 def colocated_cells(spark, sf, tile=16, buckets=8):
     """Index cells with each area's own zones: bands and zones stored by tile, and joined where they lie."""
-    names = []
-    for what, df in (("bands", fx.obs(spark, sf)), ("zones", fx.area_traits(spark, sf).filter(F.col("ecozone").isin(1, 2, 3)))):
+    names, bands = [], fx.obs(spark, sf)
+    buckets = colocated.bucket_count(bands, buckets)
+    for what, df in (("bands", bands), ("zones", fx.area_traits(spark, sf).filter(F.col("ecozone").isin(1, 2, 3)))):
         folder = shared_folder(spark, what)
         names.append(f"{what}_{folder[-32:]}")
         colocated.write_bucketed(df, names[-1], buckets=buckets, tile=tile, folder=folder)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from canopygrid.model import TILE
 
 BUCKETS = 256
+# Facts to a bucket, which one task sorts.
+ROWS = 1 << 18
 PLACE = ("aoi", "tile")
 CELL = ("row", "col")
 # Lets a join on (aoi, tile, row, col) keep the buckets of (aoi, tile); hot tiles are what the number of buckets is for.
@@ -26,6 +28,14 @@ def tile_number(tile: int = TILE) -> Column:
     return (F.floor(F.col("row") / tile) * (1 << 20) + F.floor(F.col("col") / tile)).cast("long")
 
 
+def bucket_count(facts: DataFrame, least: int = BUCKETS, rows: int = ROWS) -> int:
+    """``least`` buckets, doubled until there are no more than ``rows`` facts to one on average; for all tables joined."""
+    found, many = facts.count(), least
+    while found > many * rows:
+        many *= 2
+    return many
+
+
 def write_bucketed(
     df: DataFrame, table: str, *, buckets: int = BUCKETS, tile: int = TILE, folder: str | None = None, partitions: Sequence[str] = ()
 ) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from canopygrid.functions import labels
 from canopygrid.model import SENTINEL2
 from canopygrid.session import shared_folder
-from canopygrid.sources import readers, versions, writers
+from canopygrid.sources import colocated, readers, versions, writers
 from canopygrid.streaming import ingest
 
 
@@ -222,3 +222,7 @@ def test_a_version_is_marked_once(spark, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         versions.publish(spark, path, late)
     assert versions.current(spark, str(tmp_path / "none")) is None
+
+
+def test_buckets_grow_with_the_facts(spark):
+    assert [colocated.bucket_count(spark.range(n), least=8, rows=10) for n in (0, 80, 81, 1000)] == [8, 8, 16, 128]
