@@ -33,9 +33,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # Texts and sets differ much in size: batches for Python end at so many bytes, whatever their rows.
 BATCH_BYTES = 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+# What a table was shuffled for goes from the disks once it is written, not when the driver happens to collect garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: list[list[str]] = []
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Batches that go to Python within are bounded in bytes; a smaller bound that is set stays."""
@@ -43,14 +58,8 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     if before and before.isdigit() and int(before) <= BATCH_BYTES:
         yield
         return
-    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
-    try:
+    with _setting(spark, BATCH_CONF, str(BATCH_BYTES)):
         yield
-    finally:
-        if before is None:
-            spark.conf.unset(BATCH_CONF)
-        else:
-            spark.conf.set(BATCH_CONF, before)
 
 
 @contextmanager
@@ -73,7 +82,7 @@ def stored(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     next outer one, if any.
     """
     path = shared_folder(df.sparkSession, purpose)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession), _setting(df.sparkSession, CLEANED, "true"):
         df.write.parquet(path)
     open_ones = _scratch[:-1] if keep else _scratch
     if open_ones:
@@ -81,6 +90,36 @@ def stored(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Tables of numbers up to so many rows are sent to every task.
+SENT = 1 << 19
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """A stored table of numbers; a join sends it to every task where it is small, so that the other side stays where it is."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
+def with_ids(docs: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``column`` is among ``ids`` (one column, a table that stays); a null one is where there is one.
+
+    64 neighbouring whole numbers are the bits of one row, so that the ids of
+    very many documents are sent to these. Where ids lie too far apart for that, both sides are shuffled.
+    """
+    (name,) = ids.columns
+    if docs.schema[column].dataType.typeName() in ("byte", "short", "integer", "long"):
+        number = F.col(name).cast("long")
+        place = lambda n: n.bitwiseAND(F.lit(63)).cast("int")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), place(number))
+        words = ids.groupBy(F.shiftright(number, 6).alias("_word")).agg(F.coalesce(F.bit_or(one), F.lit(-1)).alias("_bits"))
+        words = stored(words, "ids", keep=True)
+        if words.count() <= SENT:
+            own = docs[column].cast("long")
+            held = F.call_function("shiftright", words["_bits"], place(own)).bitwiseAND(F.lit(1)) == 1
+            same = F.shiftright(own, 6).eqNullSafe(words["_word"]) & F.coalesce(held, F.lit(True))
+            return docs.join(F.broadcast(words), same, "left_semi")
+    return docs.join(ids, docs[column].eqNullSafe(ids[name]), "left_semi")
+
+
 def utf8(column: str = "text") -> Column:
     """A text's bytes; a null text counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

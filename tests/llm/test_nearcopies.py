@@ -143,3 +143,61 @@ def test_batches_are_bounded_in_bytes_while_a_table_is_stored(spark):
     seen = [r.bytes for r in tables.stored(texts.mapInArrow(sizes, "bytes long"), "batches").collect()]
     assert len(seen) > 1 and max(seen) < 2 * tables.BATCH_BYTES
     assert spark.conf.get(tables.BATCH_CONF, None) == before
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.length())) if n.startswith("shuffle_")}
+
+
+def test_what_a_stored_table_was_shuffled_for_goes_with_it(spark):
+    import time
+
+    from canopygrid.llm import tables
+
+    before = shuffle_files(spark)
+    tables.stored(spark.range(1000).repartition(3, "id"), "shuffled")
+    for _ in range(50):  # files are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(tables.CLEANED) == "false"
+
+
+def test_texts_stay_where_they_lie_as_copies_go(spark):
+    """The stage ends by sending ids to the texts, not texts to ids, even where Spark itself sends nothing."""
+    docs = spark.createDataFrame([(i, f"text {i // 2} of this table") for i in range(60)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = nearcopies.keep_one(docs)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [1 << 19, 0])
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_rows_with_ids(spark, monkeypatch, most, kind):
+    from canopygrid.llm import tables
+
+    monkeypatch.setattr(tables, "SENT", most)
+    r = random.Random(3)
+    ends = [-(2**63), 2**63 - 1, 2**62] if kind == "long" else [-(2**31), 2**31 - 1]
+    own = [*range(-200, 200), *ends, None]
+    for chosen in (r.sample(own, 150), own, [None], [63, 64, -64, -1], []):
+        as_kind = lambda i: str(i) if kind == "string" and i is not None else i
+        docs = spark.createDataFrame([(as_kind(i), 7) for i in own], f"doc_id {kind}, _word int")
+        ids = spark.createDataFrame([(as_kind(i),) for i in chosen], f"_id {kind}")
+        got = tables.with_ids(docs, "doc_id", ids)
+        assert got.columns == ["doc_id", "_word"]
+        assert sorted((x.doc_id for x in got.collect()), key=str) == sorted((x._id for x in ids.collect()), key=str)
+
+
+def test_a_small_crowd_has_few_copies_of_its_hubs(spark):
+    """A crowd's hubs are copied in proportion to it: 100 classes are one part, 1,000 are four."""
+    rows = [(i, True, 0) for i in range(100)] + [(i, True, 1) for i in range(100, 1100)]
+    crowds = spark.createDataFrame(rows, "node long, index boolean, crowd long")
+    got = {r.crowd: (r.salts, len(set(r.hubs))) for r in nearcopies._hubs(crowds).collect()}
+    assert got == {0: (1, nearcopies.HUBS), 1: (4, nearcopies.HUBS)}
