@@ -14,7 +14,13 @@ so every pair in range meets in a leaf; of several meetings only the one counts
 to which the two have not crossed a plane together. The tree is fitted to a
 bounded sample and cuts where few rows visit; it decides cost, never results.
 Leaves are dealt into chunks of at most some ``CHUNK`` rows, and a task
-compares two chunks, in strips.
+compares two chunks, in strips. Blocks whose space no plane is worth cutting
+would all meet the same chunks: a chunk goes once for all of these.
+
+Vectors without structure leave as many comparisons as there are pairs, and
+each chunk meets every other. Pairs of chunks are therefore dealt into rounds,
+none of which moves more than ``SHARE`` times the rows; what a round moved goes
+from the disks before the next. So disk grows with the rows, as time with pairs.
 
 Equal vectors are one class throughout. Crowds of near copies, too, are not
 compared among themselves: members of a ball so small that any two of its
@@ -29,6 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +44,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.llm.components import components
-from canopygrid.llm.tables import stored
+from canopygrid.llm.tables import scratch, sent, stored
 
 LEAST = 0.9
 WIDTH = 16
 # Rows of a chunk and of a strip of one.
 CHUNK = 4096
 STRIP = 512
+# Rows that a round moves: as many times all rows, but some in any case.
+SHARE = 2
+ROUND = 1 << 18
+# The number that stands for all blocks without planes.
+REST = -1
 # Vectors that trees and balls are fitted to; depth of a tree; balls at most, and members that make one in the sample.
 SAMPLE = 2048
 DEPTH = 8
@@ -218,9 +230,18 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.select("id", "v").mapInArrow(read, f"id long, key binary, v {kind}")
 
 
+def cut_blocks(plans: dict[int, Plan], dim: int) -> list[int]:
+    """Blocks that have planes."""
+    return [i for i, tree in enumerate(plans[dim].trees) if isinstance(tree, Plane)] if dim in plans else []
+
+
 def _dealt(classes: DataFrame, plans: dict[int, Plan], least: float, width: int) -> DataFrame:
-    """A row per class, block and leaf it is in: dim, block, leaf, ball (-1 for none) and the planes crossed."""
-    sent = classes.sparkSession.sparkContext.broadcast(plans)
+    """A row per class, block with planes and leaf it is in, and one for all blocks without.
+
+    Columns beside the class's are dim, block, leaf, ball (-1 for none), the
+    planes crossed, and home, which is true once a class.
+    """
+    known = classes.sparkSession.sparkContext.broadcast(plans)
     radius = ball_radius(least)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +251,18 @@ def _dealt(classes: DataFrame, plans: dict[int, Plan], least: float, width: int)
                 if dim not in turns:
                     turns[dim] = rotation(dim)
                 units, blocks = unit(vectors), blocks_of(dim, width)
-                turned, plan = rotated(units, turns[dim]), sent.value.get(dim)
+                turned, plan = rotated(units, turns[dim]), known.value.get(dim)
                 ball = np.full(len(rows), -1, np.int32)
                 if plan and len(plan.balls):
                     far = np.sqrt(np.maximum(0, 2 - 2 * (units @ plan.balls.T)))
                     nearest = far.argmin(axis=1)
                     within = far[np.arange(len(rows)), nearest] <= radius
                     ball[within] = nearest[within]
-                for i, (own, most) in enumerate(zip(blocks, budgets(blocks, least))):
-                    for leaf, some, crossed in route(plan.trees[i] if plan else 0, turned[:, own], np.sqrt(most)):
+                cut, most = cut_blocks(known.value, dim), budgets(blocks, least)
+                for i in [*cut, REST] if len(cut) < len(blocks) else cut:
+                    whole = [(0, np.arange(len(rows)), np.zeros(len(rows), np.int64))]
+                    routed = whole if i == REST else route(plan.trees[i], turned[:, blocks[i]], np.sqrt(most[i]))
+                    for leaf, some, crossed in routed:
                         taken = pa.array(rows[some])
                         yield pa.RecordBatch.from_pydict(
                             {
@@ -250,11 +274,12 @@ def _dealt(classes: DataFrame, plans: dict[int, Plan], least: float, width: int)
                                 "leaf": np.full(len(some), leaf, np.int32),
                                 "ball": ball[some],
                                 "crossed": crossed,
+                                "home": (crossed == 0) & (i == (cut[0] if cut else REST)),
                             }
                         )
 
     kind = classes.schema["v"].dataType.simpleString()
-    fields = f"node long, copies long, v {kind}, dim int, block int, leaf int, ball int, crossed long"
+    fields = f"node long, copies long, v {kind}, dim int, block int, leaf int, ball int, crossed long, home boolean"
     return classes.select("node", "copies", "v").mapInArrow(deal, fields)
 
 
@@ -275,15 +300,22 @@ def _spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return links
 
 
-def compare(group: pa.Table, least: float, width: int) -> pa.Table:
+def compare(group: pa.Table, least: float, width: int, plans: dict[int, Plan]) -> pa.Table:
     """Links between two chunks, or within one: (a, null, n) adds n to a's number, (a, b, null) are links that connect all."""
     dim, block = group["dim"][0].as_py(), group["block"][0].as_py()
-    blocks = blocks_of(dim, width)
+    blocks, cut = blocks_of(dim, width), cut_blocks(plans, dim)
     most = budgets(blocks, least)
+    # A pair counts in the first block that allows it; those without planes come last, and together.
+    allowing = [i for i in range(len(blocks)) if i not in cut] if block == REST else [block]
+    before = [i for i in cut if block == REST or i < block]
     vectors = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     units = unit(vectors)
     turned = rotated(units, rotation(dim))
-    squares = np.stack([(turned[:, b] ** 2).sum(axis=1) for b in blocks], axis=1)
+    # Squared distances are one product each: of -2x, |x|^2 and 1 with y, 1 and |y|^2; all whole, so exact.
+    ones = np.ones((len(turned), 1))
+    squares = [(turned[:, b] ** 2).sum(axis=1, keepdims=True) for b in blocks]
+    rights = [np.hstack([turned[:, b], ones, s]) for b, s in zip(blocks, squares)]
+    lefts = [np.hstack([-2 * turned[:, b], s, ones]) for b, s in zip(blocks, squares)]
     node, copies, crossed, ball, side = (group[c].to_numpy() for c in ("node", "copies", "crossed", "ball", "side"))
     one = np.flatnonzero(side == 0)
     two = np.flatnonzero(side == 1)
@@ -291,13 +323,14 @@ def compare(group: pa.Table, least: float, width: int) -> pa.Table:
     two = one if alone else two
 
     def within(i: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        own = blocks[i]
-        return squares[p, i][:, None] + squares[q, i] - 2 * (turned[p, own] @ turned[q, own].T) <= most[i]
+        return lefts[i][p] @ rights[i][q].T <= most[i]
 
     total, links = np.zeros(len(node), np.int64), []
     for a in range(0, len(one), STRIP):
         p, q = one[a : a + STRIP], two[a:] if alone else two
-        near = within(block, p, q)
+        near = within(allowing[0], p, q)
+        for i in allowing[1:]:
+            near |= within(i, p, q)
         if alone:
             near &= np.arange(len(q)) > np.arange(len(p))[:, None]
         some_p, some_q = near.any(axis=1), near.any(axis=0)
@@ -307,7 +340,7 @@ def compare(group: pa.Table, least: float, width: int) -> pa.Table:
         near &= units[p] @ units[q].T >= least
         near &= (ball[p][:, None] != ball[q]) | (ball[q] < 0)
         near &= (crossed[p][:, None] & crossed[q]) == 0
-        for i in range(block):
+        for i in before:
             if near.any():
                 near &= ~within(i, p, q)
         total[p] += near @ copies[q]
@@ -325,33 +358,45 @@ def compare(group: pa.Table, least: float, width: int) -> pa.Table:
 
 
 def _pairs(dealt: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with the number of their chunk, and the pairs of chunks to compare."""
+    """Rows with the number of their chunk, and the pairs of chunks to compare, with the rows that go for each."""
     cell = ["dim", "block", "leaf", "ball"]
-    sizes = dealt.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
+    sizes = dealt.groupBy(*cell).agg(F.count("*").alias("rows"), F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
     sizes = stored(sizes, "vectors-cells")
-    rows = dealt.join(sizes, cell).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).drop("chunks")
-    chunks = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    x, y = (chunks.select("dim", "block", "leaf", *[F.col(c).alias(f"{c}_{s}") for c in ("ball", "chunk")]) for s in "xy")
+    rows = dealt.join(sent(sizes.drop("rows")), cell).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    chunks = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("rows", F.col("rows") / F.col("chunks"))
+    x, y = (chunks.select("dim", "block", "leaf", *[F.col(c).alias(f"{c}_{s}") for c in ("ball", "chunk", "rows")]) for s in "xy")
     in_order = F.struct("ball_x", "chunk_x") <= F.struct("ball_y", "chunk_y")
     # Within a ball all is known.
     open_pair = (F.col("ball_x") < 0) | (F.col("ball_x") != F.col("ball_y"))
-    pairs = x.join(y, ["dim", "block", "leaf"]).filter(in_order & open_pair)
-    return rows, pairs
+    same = (F.col("ball_x") == F.col("ball_y")) & (F.col("chunk_x") == F.col("chunk_y"))
+    moved = F.col("rows_x") + F.when(same, 0).otherwise(F.col("rows_y"))
+    pairs = x.join(y, ["dim", "block", "leaf"]).filter(in_order & open_pair).withColumns({"same": same, "moved": moved})
+    return rows.drop("chunks"), pairs.drop("rows_x", "rows_y")
 
 
-def links(dealt: DataFrame, least: float, width: int, chunk: int) -> DataFrame:
-    """What ``compare`` finds in all pairs of chunks."""
+def rounds_of(rows: int, moved: float) -> int:
+    """Rounds for pairs of chunks that move so many rows of a table of ``rows``."""
+    return max(1, int(np.ceil(moved / max(ROUND, SHARE * rows))))
+
+
+def links(dealt: DataFrame, plans: dict[int, Plan], least: float, width: int, chunk: int) -> DataFrame:
+    """What ``compare`` finds in all pairs of chunks, a round of them at a time."""
     rows, pairs = _pairs(dealt, chunk)
     pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "vectors-pairs")
+    rounds = rounds_of(dealt.count(), pairs.agg(F.sum("moved")).first()[0] or 0)
     at = ["dim", "block", "leaf", "ball", "chunk"]
     end = lambda s: [F.col(f"ball_{s}").alias("ball"), F.col(f"chunk_{s}").alias("chunk")]
-    same = (F.col("ball_x") == F.col("ball_y")) & (F.col("chunk_x") == F.col("chunk_y"))
-    asks = pairs.select("pair", "dim", "block", "leaf", *end("x"), F.lit(0).alias("side")).union(
-        pairs.filter(~same).select("pair", "dim", "block", "leaf", *end("y"), F.lit(1).alias("side"))
-    )
-    both = rows.join(asks, at).select("pair", "side", "dim", "block", "node", "copies", "ball", "crossed", "v")
-    found = both.groupBy("pair").applyInArrow(lambda g: compare(g, least, width), "a long, b long, n long")
-    return stored(found, "vectors-found")
+    known = dealt.sparkSession.sparkContext.broadcast(plans)
+    found = []
+    for i in range(rounds):
+        now = pairs.filter(F.pmod(F.xxhash64("pair"), F.lit(rounds)) == i)
+        asks = now.select("pair", "dim", "block", "leaf", *end("x"), F.lit(0).alias("side")).union(
+            now.filter(~F.col("same")).select("pair", "dim", "block", "leaf", *end("y"), F.lit(1).alias("side"))
+        )
+        both = rows.join(sent(asks), at).select("pair", "side", "dim", "block", "node", "copies", "ball", "crossed", "v")
+        met = both.groupBy("pair").applyInArrow(lambda g: compare(g, least, width, known.value), "a long, b long, n long")
+        found.append(stored(met, "vectors-found"))
+    return found[0] if rounds == 1 else stored(reduce(DataFrame.union, found), "vectors-found")
 
 
 def near_duplicates(
@@ -376,17 +421,29 @@ def near_duplicates(
     source = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("own"))
     keyed = _keyed(_usable(source, "own"))
     rows = stored(keyed.select("id", "key"), "vectors-rows")
-    classes = keyed.filter("key IS NOT NULL").groupBy("key").agg(
-        F.count("*").alias("copies"), F.min("id").alias("least_id"), F.first("v").alias("v")
+    with scratch(vectors.sparkSession):
+        linked = stored(_linked(keyed, least, width, chunk), "vectors-linked", keep=True)
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return (
+        rows.join(linked, "key", "left")
+        .select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"))
+        .withColumn("kept", F.col(vec_id).eqNullSafe(F.col("component_id")))
     )
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors-classes")
-    sample = [np.array(r.v) for r in classes.orderBy("key").limit(SAMPLE).select("v").collect()]
-    plans = fit(sample, least, width)
-
-    dealt = stored(_dealt(classes, plans, least, width), "vectors-dealt")
-    found = links(dealt, least, width, chunk)
-    # Each class is at home once in a block.
-    members = dealt.filter("block = 0 AND crossed = 0 AND ball >= 0").select("dim", "ball", "node", "copies")
+
+
+def _linked(keyed: DataFrame, least: float, width: int, chunk: int) -> DataFrame:
+    """key, n_links and component_id of the classes that have links."""
+    with scratch(keyed.sparkSession):  # whole vectors lie on the disks once: those of the classes go when they are dealt
+        classes = keyed.filter("key IS NOT NULL").groupBy("key").agg(
+            F.count("*").alias("copies"), F.min("id").alias("least_id"), F.first("v").alias("v")
+        )
+        whole = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors-whole")
+        sample = [np.array(r.v) for r in whole.orderBy("key").limit(SAMPLE).select("v").collect()]
+        plans = fit(sample, least, width)
+        dealt = stored(_dealt(whole, plans, least, width), "vectors-dealt", keep=True)
+        classes = stored(whole.drop("v"), "vectors-classes", keep=True)
+    found = links(dealt, plans, least, width, chunk)
+    members = dealt.filter("home AND ball >= 0").select("dim", "ball", "node", "copies")
     balls = members.groupBy("dim", "ball").agg(F.sum("copies").alias("members"), F.min("node").alias("first"))
     held = stored(members.join(stored(balls, "vectors-balls"), ["dim", "ball"]), "vectors-held")
     edges = found.filter("b IS NOT NULL").select("a", "b").union(held.select(F.col("node").alias("a"), F.col("first").alias("b")))
@@ -405,10 +462,4 @@ def near_duplicates(
         "vectors-named",
     )
     firsts = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = stored(named.join(firsts, "root").select("key", "n_links", "component_id"), "vectors-linked")
-    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return (
-        rows.join(linked, "key", "left")
-        .select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"))
-        .withColumn("kept", F.col(vec_id).eqNullSafe(F.col("component_id")))
-    )
+    return named.join(firsts, "root").select("key", "n_links", "component_id")

@@ -139,3 +139,54 @@ def test_sql_agrees(spark):
     con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
     got = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({SQL['op12_vector_neighbours']})").fetchall()
     assert sorted(got, key=str) == brute(rows)
+
+
+def test_blocks_without_planes_are_dealt_once(spark):
+    """Vectors without structure are moved for all blocks together; with planes, a row is at home once."""
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, 1, r.normal(size=64).tolist()) for i in range(100)], "node long, copies long, v array<double>")
+    plans = vectors.fit([np.array(x.v) for x in df.collect()], 0.9, 16)
+    assert vectors.cut_blocks(plans, 64) == []
+    dealt = vectors._dealt(df, plans, 0.9, 16).collect()
+    assert len(dealt) == 100 and all(x.home and x.block == vectors.REST for x in dealt)
+    middles = r.normal(size=(5, 16)) * 3
+    rows = [(i, 1, (middles[i % 5] + r.normal(size=16) * 0.2).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "node long, copies long, v array<double>")
+    plans = vectors.fit([np.array(v) for *_, v in rows], 0.9, 4)
+    assert vectors.cut_blocks(plans, 16)
+    assert sorted(x.node for x in vectors._dealt(df, plans, 0.9, 4).filter("home").collect()) == list(range(400))
+
+
+def test_some_blocks_with_planes_and_some_without(spark):
+    """Two clusters in the first block's space, and a cloud in the others': pairs on both sides of the bound count once."""
+    r = np.random.default_rng(6)
+    turned = r.normal(size=(300, 16)) * r.uniform(0.05, 0.1, (300, 1))
+    turned[:, 0] += np.where(np.arange(300) % 2, 0.7, -0.7)
+    rows = [(i, v.tolist()) for i, v in enumerate(turned @ vectors.rotation(16).T / vectors.UNIT)]
+    plans = vectors.fit([np.array(v) for _, v in rows], 0.9, 4)
+    assert vectors.cut_blocks(plans, 16) == [0]
+    want = brute(rows)
+    assert 1000 < sum(w[1] for w in want) < 300 * 149
+    assert run(spark, rows, width=4, chunk=40) == want
+
+
+def test_a_round_moves_rows_in_proportion(spark, monkeypatch):
+    """Four times the rows, all pairs of chunks: no round moves more than twice the rows."""
+    monkeypatch.setattr(vectors, "ROUND", 1)
+    moved, compared = [], vectors.stored
+
+    def seen(df, purpose, **options):
+        out = compared(df, purpose, **options)
+        if purpose == "vectors-pairs":
+            total = out.selectExpr("sum(moved)").first()[0]
+            n = vectors.rounds_of(size, total)
+            moved.append((total / size, n, total / n / size))
+        return out
+
+    monkeypatch.setattr(vectors, "stored", seen)
+    r = np.random.default_rng(1)
+    for size in (60, 240):
+        rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(size, 5)))]
+        assert run(spark, rows, chunk=12) == brute(rows)
+    (few, _, _), (many, rounds, each) = moved
+    assert many > 3 * few and rounds > 2 and each <= vectors.SHARE
