@@ -217,11 +217,8 @@ def footprint_intersects(spark, sf):
 
 
 def footprint_polygons(spark, sf):
-    """Footprints that meet an area as polygons, behind the test of their boxes."""
-    items, outlines = fx.footprints(spark, sf), fx.vertices(spark, sf)
-    box = [f(c).alias(f"{c}_{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))]
-    pairs = catalog.footprint_intersects(items.groupBy("item").agg(*box), outlines.groupBy("aoi").agg(*box), 10.0)
-    return catalog.polygons_intersect(pairs, items, outlines, 5.0).select("item", "aoi")
+    """Footprints that meet an area as polygons, behind a test of the buckets that both lie in."""
+    return catalog.shapes_intersect(fx.footprint_shapes(spark, sf), fx.vertices(spark, sf), 5.0).select("item", "aoi")
 
 
 def cloud_filter(spark, sf):

@@ -185,8 +185,8 @@ FOOTPRINT = ((0, 0), (4, 0), (5, 8), (6, 0), (10, 0), (10, 10), (0, 10), (0, 0))
 FOOTPRINT_HOLE = ((1, 4), (4, 4), (4, 9), (1, 9), (1, 4))
 
 
-def footprints(spark: SparkSession, sf: str) -> DataFrame:
-    """Footprints of the scene catalog as polygons in the areas' coordinates, concave and some with a hole."""
+def footprint_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Footprints of the scene catalog as polygons in the areas' coordinates, concave and some with a hole: a row each."""
     boxes = stac(spark, sf).select(
         "item", (F.col("x_min") / 2).alias("x0"), (F.col("y_min") / 2).alias("y0"), (F.col("x_max") - F.col("x_min")).alias("w")
     )
@@ -198,7 +198,12 @@ def footprints(spark: SparkSession, sf: str) -> DataFrame:
     rings = F.array(*[corner(0, i, *c) for i, c in enumerate(FOOTPRINT)])
     hole = F.array(*[corner(1, i, *c) for i, c in enumerate(FOOTPRINT_HOLE)])
     both = F.when(F.col("item") % 5 == 0, F.concat(rings, hole)).otherwise(rings)
-    return boxes.select("item", F.inline(both))
+    return boxes.select("item", both.alias("corners"))
+
+
+def footprints(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, a row per corner."""
+    return footprint_shapes(spark, sf).select("item", F.inline("corners"))
 
 
 def scenes_s2(spark: SparkSession, sf: str) -> DataFrame:

@@ -183,3 +183,31 @@ def test_items_of_one_bucket_are_dealt_to_many_keys(spark):
     joined = catalog._dealt_join(many, few, ["b"])
     assert joined.count() == 500 and joined.columns == ["b", "item", "aoi"]
     assert "__salt" in joined._jdf.queryExecution().toString()
+
+
+def test_items_stay_where_they_lie(spark, sf):
+    """Nothing of the items but what is found is shuffled, even where Spark itself sends nothing to the tasks."""
+    import re
+
+    from canopygrid.plans import catalog_plans, fixtures as fx
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("footprint_polygons", "footprint_intersects"):
+            text = catalog_plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+            moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)
+            assert all(re.sub(r"#\d+L?", "", m) in ("item, aoi", "item, ring, aoi") for m in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_rows_of_areas_are_joined_by_shuffle(spark, sf, monkeypatch):
+    """The same pairs come out where the areas' sides are too many to be sent."""
+    from canopygrid.plans import catalog_plans
+
+    want = [sorted(map(tuple, catalog_plans.QUERIES[n](spark, sf).collect())) for n in ("footprint_polygons", "footprint_intersects")]
+    monkeypatch.setattr(catalog, "SENT", 0)
+    got = [sorted(map(tuple, catalog_plans.QUERIES[n](spark, sf).collect())) for n in ("footprint_polygons", "footprint_intersects")]
+    assert got == want and want[0]
